@@ -56,3 +56,15 @@ def per_group(df: DataFrame, key: str, function: Callable[[pa.Table], pa.Table],
 def columns_of(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """Just the needed columns, cast to the stated types; other columns and their names don't matter."""
     return df.select([F.col(f"`{name}`").cast(kind).alias(name) for name, kind in needed.items()])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, class_col: str, fold, per_class: int, name: str) -> DataFrame:
+    """(doc_id, text, label) of a bounded sample of labelled rows that ``fold`` (a condition on doc_id) lets in.
+
+    The chosen ids are a hash sample of bounded size, so they are broadcast and the
+    texts never shuffle; the sample is written to the shared folder and read from there.
+    """
+    ids = bounded_ids(columns_of(labels, {"doc_id": "bigint", class_col: "string"}).where(fold), "doc_id", class_col, per_class)
+    ids = ids.select("doc_id", F.col(class_col).alias("label"))
+    rows = columns_of(docs, {"doc_id": "bigint", "text": "string"})
+    return written(rows.join(F.broadcast(ids), "doc_id"), name)

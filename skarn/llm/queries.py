@@ -7,6 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, fit(docs, table(spark, sf_dir, "labels"), ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "words")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, fit(docs, table(spark, sf_dir, "labels"), ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan
 
@@ -26,6 +42,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op6_secret_scans, op7_simhash, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op6_secret_scans, op7_simhash, op9_sharding)}
 
 ORACLE: dict[str, str] = {}

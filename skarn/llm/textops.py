@@ -14,12 +14,12 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_WORD = np.zeros(256, dtype=bool)
-_WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+WORD = np.zeros(256, dtype=bool)
+WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -98,7 +98,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, words: bool = True) -> tuple[n
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = _WORD[data] if words else ~_BLANK[data]
+    inside = WORD[data] if words else ~_BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -109,7 +109,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, words: bool = True) -> tuple[n
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    return span_hashes(prefix_hashes(_LOWER[data]), starts, ends), starts, np.searchsorted(starts, offsets)
+    return span_hashes(prefix_hashes(LOWER[data]), starts, ends), starts, np.searchsorted(starts, offsets)
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
