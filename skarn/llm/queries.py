@@ -23,6 +23,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spanprint import fingerprinted
+
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan
 
@@ -42,6 +48,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op6_secret_scans, op7_simhash, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_fingerprints, op6_secret_scans, op7_simhash, op9_sharding)}
 
 ORACLE: dict[str, str] = {}
