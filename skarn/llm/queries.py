@@ -29,6 +29,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import digest, repeated
+
+    return digest(repeated(table(spark, sf_dir, "documents")))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan
 
@@ -48,6 +54,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_fingerprints, op6_secret_scans, op7_simhash, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_fingerprints, op5_suffix_array, op6_secret_scans, op7_simhash, op9_sharding)}
 
 ORACLE: dict[str, str] = {}
