@@ -48,12 +48,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_fingerprints, op5_suffix_array, op6_secret_scans, op7_simhash, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_fingerprints, op5_suffix_array, op6_secret_scans, op7_simhash, op8_chat, op9_sharding)}
 
 ORACLE: dict[str, str] = {}
