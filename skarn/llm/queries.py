@@ -60,6 +60,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_fingerprints, op5_suffix_array, op6_secret_scans, op7_simhash, op8_chat, op9_sharding)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.array_join("items", ",").alias("items"), "share")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_fingerprints, op5_suffix_array, op6_secret_scans, op7_simhash, op8_chat, op9_sharding, op10_decontamination)}
 
 ORACLE: dict[str, str] = {}
