@@ -126,7 +126,7 @@ class Trees:
 
 def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> Trees:
     """Boost logistic loss with histogram splits."""
-    mean = float((y * weight).sum() / weight.sum()) if len(y) else 0.5
+    mean = float((y * weight).sum() / weight.sum()) if len(y) else 0.0
     if not 0 < mean < 1:
         return Trees(0.0, depth)
     model = Trees(float(np.log(mean / (1 - mean))), depth)
@@ -189,5 +189,15 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
     return columns_of(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(run, "doc_id bigint, score double")
 
 
+def accepted(docs: DataFrame, model: Trees) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text scores at least one half."""
+
+    def run(batches):
+        for rows, data, offsets in text_blocks(batches):
+            yield rows.filter(pa.array(model.scores(statistics(data, offsets)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     return F.coalesce(crc_bucket(column, 3) == 1, F.lit(False))

@@ -15,6 +15,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "words")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import fit, rated
+
+    docs = table(spark, sf_dir, "documents")
+    labelled = table(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    return rated(docs, fit(docs, labelled)[0])
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, held_out, score
 
@@ -67,6 +75,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", F.array_join("items", ",").alias("items"), "share")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_fingerprints, op5_suffix_array, op6_secret_scans, op7_simhash, op8_chat, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_fingerprints, op5_suffix_array, op6_secret_scans, op7_simhash, op8_chat, op9_sharding, op10_decontamination)}
 
 ORACLE: dict[str, str] = {}

@@ -25,7 +25,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import columns_of, written
 from .textops import text_blocks
@@ -230,5 +230,18 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose id is the smallest of their class; rows without an id stay.
+
+    Rows that repeat such an id are one document: the least of them by content stays.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    keep = written(found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "simhash-kept")
+    names = docs.columns
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    kept = docs.join(keep, id_col, "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return kept.select(*names).union(docs.where(F.col(id_col).isNull()).select(*names))
+
+
 def hex_digits(column: str):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
