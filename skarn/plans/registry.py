@@ -1,4 +1,8 @@
 """All registered queries of the engine's own operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import code, graphs, monitoring, texts, vectors  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
