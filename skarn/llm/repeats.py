@@ -1,28 +1,29 @@
-"""Removal of repeated byte strings across documents by sorted suffix tuples.
+"""Removal of repeated byte strings across documents with sharded suffix arrays.
 
 Every ``LENGTH``-byte string holds one anchor: the position of the least 20-byte gram
 hash within it (leftmost of equals), so equal strings choose equal anchors.  The
-anchored suffixes, about one in sixteen, stand for all suffixes: a tuple carries the
-anchor's hash, the hash of its context (the bytes from 30 before to 50 after it, as
-far as the text goes) and the document.  Sorting a shard's tuples puts equal suffixes
-side by side:
-
-* equal contexts share all their strings: all but those of the smallest document go;
-* an anchor with several contexts in several documents is resolved byte by byte: one
-  context of each kind is sent to the anchor's shard, and every ``LENGTH``-byte string
-  in it is compared with those at the same offset from the anchor.
+anchored suffixes, about one in sixteen, stand for all suffixes, and an anchor's hash
+says in which shard its suffixes are sorted:
+
+1. Tuples (anchor, hash of the context, document) of a shard are sorted.  A context is
+   the bytes from 30 before to 50 after the anchor, as far as the text goes: equal ones
+   share all their strings, so all but those of the smallest document go.
+2. Of an anchor with several contexts in several documents one representative of each
+   context goes on.  The suffixes of a shard's representatives are sorted by external
+   induced sorting (``induced``): queues on disk carry the suffixes and their common
+   prefixes, and neighbours that share ``LENGTH`` bytes are one string; those that don't
+   start in its smallest document go.
 
 Tuples, contexts and texts move as packed binary blocks, keyed by anchor shard or by
 document group; shard and group sizes are fixed numbers of bytes, so their counts
 follow the input, and nothing is gathered beyond one of them.  Within a batch of the
-scan, copies of a context collapse to one tuple before the shuffle.  The scan must be
-repeatable (a table); it is read four times.
+scan, copies of a context collapse to one tuple before the shuffle.
 
 Defined results: a null text is the empty text; texts shorter than ``LENGTH`` keep all
 bytes; a null id counts as larger than every id and equal to other null ids; rows with
 the same id don't remove each other's bytes; an empty table gives an empty table;
-other columns are ignored.  Strings are compared by 64-bit hashes (anchors and
-contexts by 48 bits of them within a shard).
+other columns are ignored.  Anchors and contexts are told apart by 48 bits of their
+hashes within a shard; the induced order compares bytes.
 """
 
 from __future__ import annotations
@@ -32,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import columns_of, written
-from .textops import blocks, mix, prefix_hashes, row_sums, span_hashes, text_buffers, window_min
+from .induced import MEMORY, sort_suffixes
+from .textops import blocks, mix, prefix_hashes, span_hashes, text_buffers, window_min
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 CONTEXT = REACH + LENGTH
 SHARD_BYTES = 16 << 20  # of text for each anchor shard
 GROUP_BYTES = 2 << 20  # of text for each group of documents
+SORT_BYTES = 1 << 20  # of contexts for each induced sort
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -141,8 +144,40 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["key", "kind", "blob"])
 
 
+def shared_strings(contexts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, memory: int = MEMORY) -> np.ndarray:
+    """For each context (row of bytes) the starts, as bits, of strings that start in a smaller document too.
+
+    The suffix array of all contexts, each closed by a zero byte, comes in blocks; a run
+    of neighbours with common prefixes of at least ``LENGTH`` is one string.
+    """
+    width = CONTEXT + 1
+    text = np.zeros((len(contexts), width), np.uint8)
+    text[:, :CONTEXT] = contexts
+    mask = np.zeros(len(contexts), np.int64)
+    largest = np.iinfo(np.int64).max
+
+    def settle(positions: np.ndarray, starts: np.ndarray) -> None:
+        owner, start = np.divmod(positions, width)
+        whole = start + LENGTH <= sizes[owner]
+        least = np.minimum.reduceat(np.where(whole, docs[owner], largest), starts)
+        gone = whole & (docs[owner] > np.repeat(least, np.diff(np.append(starts, len(positions)))))
+        np.add.at(mask, owner[gone], np.int64(1) << start[gone])
+
+    held = np.zeros(0, np.int64)  # the last run so far, which the next block may go on with
+    for positions, common in sort_suffixes(text.reshape(-1), memory=memory):
+        joined = np.concatenate([held, positions.astype(np.int64)])
+        fresh = np.concatenate([np.zeros(len(held), bool), common < LENGTH])
+        fresh[0] = True
+        starts = np.flatnonzero(fresh)
+        settle(joined[: starts[-1]], starts[:-1]) if len(starts) > 1 else None
+        held = joined[starts[-1] :]
+    if len(held):
+        settle(held, np.zeros(1, np.int64))
+    return mask
+
+
 SCHEMA = "key bigint, kind int, blob binary"
-TEXTS, GONE, FINE, MASKED = range(4)
+TEXTS, GONE, FINE, MASKED, TUPLES = range(5)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -156,16 +191,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def tuples(batches):
         for batch in batches:
             anchor, context, doc, first = _batch_tuples(batch)
-            anchor, context, doc = anchor[first], context[first], doc[first]
-            key = (mix(anchor) % np.uint64(shards)).astype(np.int64)
-            yield _batch(_rows(key, 0, lambda i: _pack((anchor[i], 6), (context[i], 6), (doc[i], 8))))  # noqa: B023
-
-    def within_batch(batches):
-        for batch in batches:
-            _, context, doc, first = _batch_tuples(batch)
-            context, doc = context[~first], doc[~first]
-            # The same id may own the batch's least tuple under another row: ids decide, and are compared again.
-            yield _batch(_rows(_group(doc, groups), GONE, lambda i: _pack((doc[i], 8), (context[i], 6))))  # noqa: B023
+            a, c, d = anchor[first], context[first], doc[first]
+            out = _rows((mix(a) % np.uint64(shards)).astype(np.int64), TUPLES, lambda i: _pack((a[i], 6), (c[i], 6), (d[i], 8)))  # noqa: B023
+            # The other tuples of the batch have a smaller owner in it already.
+            c, d = context[~first], doc[~first]
+            yield _batch(out + _rows(_group(d, groups), GONE, lambda i: _pack((d[i], 8), (c[i], 6))))  # noqa: B023
 
     def sort_shard(block: pa.Table) -> pa.Table:
         anchor, context, doc = _joined(block.column("blob").to_pylist(), 6, 6, 8)
@@ -224,7 +254,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         if len(wanted):
             for a, b in blocks(offsets):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                position, row, anchor, context, start, end = anchors(part, at)
+                _, row, anchor, context, start, end = anchors(part, at)
                 key = _pair(ids[a:b][row], context)
                 found = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
                 _, once = np.unique(key[found], return_index=True)
@@ -235,7 +265,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
                 def pack(i: np.ndarray) -> bytes:
                     f = found[i]  # noqa: B023
-                    head = _pack((anchor[f], 6), (context[f], 6), (ids[a:b][row[f]], 8), (position[f] - start[f], 1), (end[f] - start[f], 1))  # noqa: B023
+                    head = _pack((anchor[f], 6), (context[f], 6), (ids[a:b][row[f]], 8), (end[f] - start[f], 1))  # noqa: B023
                     return head + text[i].tobytes()  # noqa: B023
 
                 out += _rows(shard, 0, pack)
@@ -244,29 +274,20 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def resolve(block: pa.Table) -> pa.Table:
         heads, texts = [], []
         for blob in block.column("blob").to_pylist():
-            n = len(blob) // (22 + CONTEXT)
-            heads.append(blob[: 22 * n])
-            texts.append(np.frombuffer(blob, np.uint8, offset=22 * n).reshape(n, CONTEXT))
-        anchor, context, doc, left, size = _joined(heads, 6, 6, 8, 1, 1)
-        text, doc, left, size = np.concatenate(texts), doc.view(np.int64), left.astype(np.int64), size.astype(np.int64)
-        keys, owners, bits = [], [], []
-        for a in range(0, len(text), 8192):
-            part, l, s = text[a : a + 8192], left[a : a + 8192], size[a : a + 8192]
-            prefix = prefix_hashes(part.reshape(-1))
-            base = np.arange(len(part)) * CONTEXT
-            for back in range(REACH + 1):
-                ok = np.flatnonzero((l >= back) & (s >= l - back + LENGTH))
-                first = base[ok] + l[ok] - back
-                keys.append(mix(span_hashes(prefix, first, first + LENGTH) + anchor[a + ok] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(back)))
-                owners.append(a + ok)
-                bits.append(np.full(len(ok), 1 << back, np.int64))
-        key, owner, bit = np.concatenate(keys), np.concatenate(owners), np.concatenate(bits)
-        order = np.argsort(key)
-        cuts = _cuts(key[order])
-        smallest = np.minimum.reduceat(doc[owner[order]], cuts[:-1])
-        gone = order[doc[owner[order]] > np.repeat(smallest, np.diff(cuts))]
+            n = len(blob) // (21 + CONTEXT)
+            heads.append(blob[: 21 * n])
+            texts.append(np.frombuffer(blob, np.uint8, offset=21 * n).reshape(n, CONTEXT))
+        anchor, context, doc, size = _joined(heads, 6, 6, 8, 1)
+        order = np.argsort(anchor, kind="stable")
+        text, doc, size = np.concatenate(texts)[order], doc.view(np.int64)[order], size.astype(np.int64)[order]
+        anchor, context = anchor[order], context[order]
         mask = np.zeros(len(text), np.int64)
-        np.add.at(mask, owner[gone], bit[gone])
+        cuts, first = _cuts(anchor), 0
+        for last in cuts[1:].tolist():
+            # Whole anchors up to about SORT_BYTES of text; a larger anchor is sorted alone, its queues on disk.
+            if (last - first) * (CONTEXT + 1) >= SORT_BYTES or last == len(text):
+                mask[first:last] = shared_strings(text[first:last], size[first:last], doc[first:last])
+                first = last
         some = np.flatnonzero(mask)
         return pa.Table.from_batches([_batch(_rows(_group(doc[some], groups), MASKED, lambda i: _pack((doc[some][i], 8), (context[some][i], 6), (mask[some][i], 4))))])
 
@@ -281,7 +302,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         columns: list[list] = [[], [], [], []]
         for a, b in blocks(offsets):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            position, row, _, context, start, end = anchors(part, at)
+            _, row, _, context, start, end = anchors(part, at)
             key = _pair(ids[a:b][row], context)
             change = np.zeros(len(part) + 1, np.int64)
             if len(gone):
@@ -291,8 +312,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             if len(masked):
                 i = np.minimum(np.searchsorted(masked, key), len(masked) - 1)
                 found = np.flatnonzero(masked[i] == key)
-                for back in range(REACH + 1):
-                    first = position[found[mask[i[found]] >> back & 1 == 1]] - back
+                for ahead in range(REACH + 1):
+                    first = start[found[mask[i[found]] >> ahead & 1 == 1]] + ahead
                     np.add.at(change, first, 1)
                     np.add.at(change, first + LENGTH, -1)
             covered = np.cumsum(change)[:-1] > 0
@@ -312,8 +333,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
         return pa.Table.from_arrays([pa.chunked_array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    sharded = rows.mapInArrow(tuples, SCHEMA).groupBy("key").applyInArrow(sort_shard, SCHEMA)
-    answers = written(sharded.union(rows.mapInArrow(within_batch, SCHEMA)), "repeats-answers")
+    scanned = written(rows.mapInArrow(tuples, SCHEMA), "repeats-tuples")
+    sharded = scanned.where(F.col("kind") == TUPLES).groupBy("key").applyInArrow(sort_shard, SCHEMA)
+    answers = written(sharded.union(scanned.where(F.col("kind") == GONE)), "repeats-answers")
     texts = rows.mapInArrow(packed_texts, SCHEMA)
     fine = texts.union(answers.where(F.col("kind") == FINE)).groupBy("key").applyInArrow(contexts, SCHEMA)
     masks = written(fine.groupBy("key").applyInArrow(resolve, SCHEMA), "repeats-masks")

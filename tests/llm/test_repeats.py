@@ -47,3 +47,33 @@ def test_removed_bytes(spark):
             assert got == brute(data)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sorting_in_pieces_and_on_disk(monkeypatch):
+    """Runs that go over block ends, and queues that all go to disk, change nothing."""
+    import numpy as np
+
+    from skarn.llm import induced, repeats
+
+    rng = random.Random(6)
+    base = bytes(rng.choice(b"abcd") for _ in range(400))
+    contexts, sizes, ids = [], [], []
+    for i in range(300):
+        at, n = rng.randrange(320), rng.choice([80, 80, 60, 50, 49, 20])
+        piece = bytearray(base[at : at + n])
+        if rng.random() < 0.3:
+            piece[rng.randrange(n)] ^= 1
+        contexts.append(bytes(piece).ljust(repeats.CONTEXT, b"\0"))
+        sizes.append(n)
+        ids.append(i // 2)
+    table = np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, repeats.CONTEXT)
+    least = {}
+    windows = [(i, s, contexts[i][s : s + 50]) for i in range(300) for s in range(sizes[i] - 49)]
+    for i, _, w in windows:
+        least[w] = min(least.get(w, 10**9), ids[i])
+    want = [0] * 300
+    for i, s, w in windows:
+        want[i] |= (ids[i] > least[w]) << s
+    for block, memory in ((1 << 16, 1 << 20), (64, 0)):
+        monkeypatch.setattr(induced, "BLOCK", block)
+        assert repeats.shared_strings(table, np.array(sizes), np.array(ids), memory).tolist() == want
