@@ -124,8 +124,8 @@ class Queue:
 class _Scan:
     """Appends the suffixes before scanned ones to the queues of their first bytes."""
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: list[Queue]):
-        self.text, self.wanted, self.queues = text, wanted, queues
+    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: list[Queue], carry: bool):
+        self.text, self.wanted, self.queues, self.carry = text, wanted, queues, carry
         self.least = np.zeros(256, np.uint8)
 
     def bucket(self) -> None:
@@ -141,12 +141,18 @@ class _Scan:
         place = np.flatnonzero((positions > 0) & self.wanted[before])
         every = common.min() if len(common) else _NONE
         if not len(place):
+            if not self.carry:
+                return
             np.minimum(self.least, every, out=self.least)
             return
         symbol = self.text[before[place]]
         order = np.argsort(symbol, kind="stable")
         place, symbol = place[order], symbol[order]
+        moved = before[place]
         cuts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        if not self.carry:
+            self._push(symbol, cuts, moved, np.zeros(len(place), np.uint8))
+            return
         start = np.empty(len(place), np.int64)
         start[1:] = place[:-1] + 1
         start[cuts] = 0
@@ -166,8 +172,11 @@ class _Scan:
         last = np.append(cuts[1:], len(place)) - 1
         np.minimum(self.least, every, out=self.least)
         self.least[symbol[last]] = after[place[last] + 1]
-        moved = before[place]
-        for c, a, b in zip(symbol[cuts].tolist(), cuts.tolist(), (last + 1).tolist(), strict=True):
+        self._push(symbol, cuts, moved, shared)
+
+    def _push(self, symbol: np.ndarray, cuts: np.ndarray, moved: np.ndarray, shared: np.ndarray) -> None:
+        edges = [*cuts.tolist(), len(moved)]
+        for c, a, b in zip(symbol[cuts].tolist(), edges, edges[1:], strict=False):
             self.queues[c].push(moved[a:b], shared[a:b])
 
 
@@ -195,17 +204,18 @@ def _opened(block: tuple[np.ndarray, np.ndarray], last: int) -> tuple[np.ndarray
     return block[0], common
 
 
-def _induce(text: np.ndarray, smaller: np.ndarray, run: np.ndarray, lms: Callable[[int], tuple[np.ndarray, np.ndarray]], memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _induce(text: np.ndarray, smaller: np.ndarray, run: np.ndarray, lms: Callable[[int], tuple[np.ndarray, np.ndarray]], memory: int, carry: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Both scans; yields blocks of (positions, common prefixes) in order, smallest suffix first.
 
-    ``lms`` gives the LMS positions of a byte in order, with their common prefixes.
+    ``lms`` gives the LMS positions of a byte in order, with their common prefixes; without
+    ``carry`` the prefixes are left at zero.
     """
     scratch = Scratch(memory)
     n = len(text)
     used = np.flatnonzero(np.bincount(text, minlength=256)).tolist()
     rising, larger, done = ([scratch.queue() for _ in range(256)] for _ in range(3))
     seam = lambda i, j: min(int(run[i]), int(run[j]), DEPTH)
-    scan = _Scan(text, ~smaller, rising)
+    scan = _Scan(text, ~smaller, rising, carry)
     rising[text[n - 1]].push(np.array([n - 1], np.int32), np.zeros(1, np.uint8))
     for c in used:
         scan.bucket()
@@ -220,7 +230,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, run: np.ndarray, lms: Callabl
             common = common.copy()
             common[0] = seam(last, positions[0]) if last >= 0 else 0
             scan.block(positions, common)
-    scan = _Scan(text, smaller, rising)
+    scan = _Scan(text, smaller, rising, carry)
     for c in reversed(used):
         scan.bucket()
         last = -1
@@ -288,14 +298,16 @@ def sort_suffixes(text: np.ndarray, depth: int = DEPTH, memory: int = MEMORY) ->
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         found = []
-        for positions, _ in _induce(text, smaller, run, grouped(first, np.zeros(len(first), np.uint8)), memory):
+        for positions, _ in _induce(text, smaller, run, grouped(first, np.zeros(len(first), np.uint8)), memory, carry=False):
             found.append(positions[is_lms[positions]])
         order = np.concatenate(found).astype(np.int64)
         # Names: equal LMS substrings (to the next LMS, inclusive) share one.
         end = np.append(lms[1:] + 1, n)
         hashes = span_hashes(prefix_hashes(text), lms, end) + (end - lms).astype(np.uint64)
         hashes[-1] += np.uint64(1)  # the last runs into the end of the text: like no other
-        at = np.searchsorted(lms, order)
+        number = np.empty(n, np.int32)
+        number[lms] = np.arange(len(lms))
+        at = number[order]
         names = np.empty(len(lms), np.int64)
         names[at] = np.cumsum(np.concatenate([[0], hashes[at][1:] != hashes[at][:-1]]))
         if names[at[-1]] + 1 < len(lms):

@@ -16,8 +16,8 @@ says in which shard its suffixes are sorted:
 
 Tuples, contexts and texts move as packed binary blocks, keyed by anchor shard or by
 document group; shard and group sizes are fixed numbers of bytes, so their counts
-follow the input, and nothing is gathered beyond one of them.  Within a batch of the
-scan, copies of a context collapse to one tuple before the shuffle.
+follow the input, and nothing is gathered beyond one of them.  Within eight
+megabytes of the scan, copies of a context collapse to one tuple before the shuffle.
 
 Defined results: a null text is the empty text; texts shorter than ``LENGTH`` keep all
 bytes; a null id counts as larger than every id and equal to other null ids; rows with
@@ -32,14 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns_of, written
+from .common import columns_of, small_batches, written
 from .induced import MEMORY, sort_suffixes
 from .textops import blocks, mix, prefix_hashes, span_hashes, text_buffers, window_min
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 CONTEXT = REACH + LENGTH
-SHARD_BYTES = 16 << 20  # of text for each anchor shard
+SHARD_BYTES = 8 << 20  # of text for each anchor shard
+PART_BYTES = 8 << 20  # of text whose tuples are combined before the shuffle
 GROUP_BYTES = 2 << 20  # of text for each group of documents
 SORT_BYTES = 1 << 20  # of contexts for each induced sort
 NO_ID = np.iinfo(np.int64).max
@@ -111,8 +112,14 @@ def _cuts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
 
 
+def _parts(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """Slices of a batch of about ``PART_BYTES`` of text: what the tuples of one take stays small."""
+    _, offsets = text_buffers(batch.column("text"))
+    return [batch.slice(a, b - a) for a, b in blocks(offsets, PART_BYTES)]
+
+
 def _batch_tuples(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, context, id, whether it is the batch's least id for the context), sorted by id."""
+    """(anchor, context, id, whether it is the part's least id for the context), sorted by id."""
     ids = _ids(batch)
     data, offsets = text_buffers(batch.column("text"))
     parts = []
@@ -132,11 +139,13 @@ def _batch_tuples(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
     return anchor[order], context[order], doc[order], first[order]
 
 
-def _rows(key: np.ndarray, kind: int, pack) -> list[tuple[int, int, bytes]]:
-    """(key, kind, blob) for every run of a key, after sorting by it; ``pack`` gets the rows of a run."""
+def _rows(key: np.ndarray, kind: int, *columns: tuple[np.ndarray, int]) -> list[tuple[int, int, bytes]]:
+    """(key, kind, packed columns) for every run of a key, after sorting all by it once."""
     order = np.argsort(key, kind="stable")
     cuts = _cuts(key[order])
-    return [(int(key[order[a]]), kind, pack(order[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    ordered = [(c[order], width) for c, width in columns]
+    keys = key[order[cuts[:-1]]].tolist() if len(key) else []
+    return [(k, kind, _pack(*[(c[a:b], width) for c, width in ordered])) for k, a, b in zip(keys, cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -184,36 +193,43 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """doc_id, n_bytes, spans (array of removed byte ranges, end exclusive) and kept (binary) of every row."""
     rows = columns_of(docs, {id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
     spark = docs.sparkSession
+    small_batches(spark)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards, groups = max(least, -(-total // shard_bytes)), max(least, -(-total // group_bytes))
 
     def tuples(batches):
         for batch in batches:
-            anchor, context, doc, first = _batch_tuples(batch)
-            a, c, d = anchor[first], context[first], doc[first]
-            out = _rows((mix(a) % np.uint64(shards)).astype(np.int64), TUPLES, lambda i: _pack((a[i], 6), (c[i], 6), (d[i], 8)))  # noqa: B023
-            # The other tuples of the batch have a smaller owner in it already.
-            c, d = context[~first], doc[~first]
-            yield _batch(out + _rows(_group(d, groups), GONE, lambda i: _pack((d[i], 8), (c[i], 6))))  # noqa: B023
+            for part in _parts(batch):
+                anchor, context, doc, first = _batch_tuples(part)
+                a, c, d = anchor[first], context[first], doc[first]
+                yield _batch(_rows((mix(a) % np.uint64(shards)).astype(np.int64), TUPLES, (a, 6), (c, 6), (d, 8)))
+                # The other tuples have a smaller owner in the same part already.
+                c, d = context[~first], doc[~first]
+                yield _batch(_rows(_group(d, groups), GONE, (d, 8), (c, 6)))
 
     def sort_shard(block: pa.Table) -> pa.Table:
         anchor, context, doc = _joined(block.column("blob").to_pylist(), 6, 6, 8)
         doc = doc.view(np.int64)
         key = mix(anchor * np.uint64(0x9E3779B97F4A7C15) + context)
-        order = np.lexsort((doc, key, anchor))
-        anchor, context, doc, key = anchor[order], context[order], doc[order], key[order]
-        same = _cuts(key)
-        lengths = np.diff(same)
-        owner = np.repeat(doc[same[:-1]], lengths)
-        gone = doc > owner
-        out = _rows(_group(doc[gone], groups), GONE, lambda i: _pack((doc[gone][i], 8), (context[gone][i], 6)))
-        heads = same[:-1]
-        by_anchor = _cuts(anchor[heads])
-        if len(heads):
-            low, high = np.minimum.reduceat(doc[heads], by_anchor[:-1]), np.maximum.reduceat(doc[heads], by_anchor[:-1])
-            fine = heads[np.repeat(low != high, np.diff(by_anchor))]
-            out += _rows(_group(doc[fine], groups), FINE, lambda i: _pack((doc[fine][i], 8), (context[fine][i], 6)))
+        order = np.argsort(key)
+        same = _cuts(key[order])
+        del key
+        doc, context = doc[order], context[order]
+        owner = np.minimum.reduceat(doc, same[:-1]) if len(doc) else doc
+        gone = doc > np.repeat(owner, np.diff(same))
+        d, c = doc[gone], context[gone]
+        out = _rows(_group(d, groups), GONE, (d, 8), (c, 6))
+        # One representative of each context: its anchor, its smallest document.
+        anchor, context = anchor[order[same[:-1]]], context[same[:-1]]
+        order = np.argsort(anchor)
+        by_anchor = _cuts(anchor[order])
+        if len(anchor):
+            owner, context = owner[order], context[order]
+            low, high = np.minimum.reduceat(owner, by_anchor[:-1]), np.maximum.reduceat(owner, by_anchor[:-1])
+            fine = np.repeat(low != high, np.diff(by_anchor))
+            d, c = owner[fine], context[fine]
+            out += _rows(_group(d, groups), FINE, (d, 8), (c, 6))
         return pa.Table.from_batches([_batch(out)])
 
     def packed_texts(batches):
@@ -222,12 +238,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             data, offsets = text_buffers(batch.column("text"))
             sizes = np.diff(offsets)
 
-            def pack(i: np.ndarray) -> bytes:
-                head = _pack((ids[i], 8), (sizes[i], 8))  # noqa: B023
-                text = b"".join(data[offsets[j] : offsets[j + 1]].tobytes() for j in i.tolist())  # noqa: B023
-                return len(i).to_bytes(8, "little") + head + (pa.compress(text, codec="zstd", asbytes=True) if text else b"")
-
-            yield _batch(_rows(_group(ids, groups), TEXTS, pack))
+            group = _group(ids, groups)
+            order = np.argsort(group, kind="stable")
+            cuts, out = _cuts(group[order]), []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                i = order[a:b]
+                text = b"".join(data[offsets[j] : offsets[j + 1]].tobytes() for j in i.tolist())
+                packed = pa.compress(text, codec="zstd", asbytes=True) if text else b""
+                out.append((int(group[i[0]]), TEXTS, len(i).to_bytes(8, "little") + _pack((ids[i], 8), (sizes[i], 8)) + packed))
+            yield _batch(out)
 
     def unpacked(block: pa.Table):
         """(ids, data, offsets) of the group's texts, and the blobs of the other kinds."""
@@ -262,13 +281,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 near = np.minimum(start[found, None] + np.arange(CONTEXT), len(part) - 1)
                 text = np.where(start[found, None] + np.arange(CONTEXT) < end[found, None], part[near] if len(found) else 0, 0).astype(np.uint8)
                 shard = (mix(anchor[found]) % np.uint64(shards)).astype(np.int64)
-
-                def pack(i: np.ndarray) -> bytes:
-                    f = found[i]  # noqa: B023
-                    head = _pack((anchor[f], 6), (context[f], 6), (ids[a:b][row[f]], 8), (end[f] - start[f], 1))  # noqa: B023
-                    return head + text[i].tobytes()  # noqa: B023
-
-                out += _rows(shard, 0, pack)
+                order = np.argsort(shard, kind="stable")
+                cuts = _cuts(shard[order])
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    f = found[order[x:y]]
+                    head = _pack((anchor[f], 6), (context[f], 6), (ids[a:b][row[f]], 8), (end[f] - start[f], 1))
+                    out.append((int(shard[order[x]]), 0, head + text[order[x:y]].tobytes()))
         return pa.Table.from_batches([_batch(out)])
 
     def resolve(block: pa.Table) -> pa.Table:
@@ -289,7 +307,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 mask[first:last] = shared_strings(text[first:last], size[first:last], doc[first:last])
                 first = last
         some = np.flatnonzero(mask)
-        return pa.Table.from_batches([_batch(_rows(_group(doc[some], groups), MASKED, lambda i: _pack((doc[some][i], 8), (context[some][i], 6), (mask[some][i], 4))))])
+        d, c, m = doc[some], context[some], mask[some]
+        return pa.Table.from_batches([_batch(_rows(_group(d, groups), MASKED, (d, 8), (c, 6), (m, 4)))])
 
     def remove(block: pa.Table) -> pa.Table:
         ids, data, offsets, of = unpacked(block)
