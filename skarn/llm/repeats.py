@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import columns_of, small_batches, written
 from .induced import MEMORY, sort_suffixes
-from .textops import blocks, mix, prefix_hashes, span_hashes, text_buffers, window_min
+from .textops import blocks, mix, prefix_hashes, release, span_hashes, text_buffers, window_min
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
@@ -207,6 +207,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 # The other tuples have a smaller owner in the same part already.
                 c, d = context[~first], doc[~first]
                 yield _batch(_rows(_group(d, groups), GONE, (d, 8), (c, 6)))
+            release()
 
     def sort_shard(block: pa.Table) -> pa.Table:
         anchor, context, doc = _joined(block.column("blob").to_pylist(), 6, 6, 8)
@@ -230,6 +231,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             fine = np.repeat(low != high, np.diff(by_anchor))
             d, c = owner[fine], context[fine]
             out += _rows(_group(d, groups), FINE, (d, 8), (c, 6))
+        release()
         return pa.Table.from_batches([_batch(out)])
 
     def packed_texts(batches):
@@ -287,6 +289,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                     f = found[order[x:y]]
                     head = _pack((anchor[f], 6), (context[f], 6), (ids[a:b][row[f]], 8), (end[f] - start[f], 1))
                     out.append((int(shard[order[x]]), 0, head + text[order[x:y]].tobytes()))
+        release()
         return pa.Table.from_batches([_batch(out)])
 
     def resolve(block: pa.Table) -> pa.Table:
@@ -308,6 +311,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 first = last
         some = np.flatnonzero(mask)
         d, c, m = doc[some], context[some], mask[some]
+        release()
         return pa.Table.from_batches([_batch(_rows(_group(d, groups), MASKED, (d, 8), (c, 6), (m, 4)))])
 
     def remove(block: pa.Table) -> pa.Table:
@@ -349,6 +353,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             columns[1].append(pa.array(np.diff(at)))
             columns[2].append(pa.ListArray.from_arrays(pa.array(spans_at.astype(np.int32)), spans))
             columns[3].append(pa.array([kept[x:y] for x, y in zip(kept_at, kept_at[1:], strict=False)], pa.binary()))
+        release()
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
         return pa.Table.from_arrays([pa.chunked_array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
 

@@ -7,6 +7,7 @@ Python object is made.  A null text counts as the empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,22 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # no glibc: its allocator decides alone
+        return lambda _: 0
+
+
+_TRIM = _trimmer()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks, and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each (a longer row stands alone)."""
     first, rows = 0, len(offsets) - 1
@@ -57,6 +74,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         data, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
         for a, b in blocks(offsets, limit):
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        release()
 
 
 def _tables(n: int) -> None:
