@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOCAL_SHARED = "/tmp/skarn-shared"
 
@@ -79,3 +79,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, class_col: str, fold, pe
     ids = ids.select("doc_id", F.col(class_col).alias("label"))
     rows = columns_of(docs, {"doc_id": "bigint", "text": "string"})
     return written(rows.join(F.broadcast(ids), "doc_id"), name)
+
+
+def quantiles(rows: DataFrame, column: str, ranges: int) -> list[int]:
+    """At most ``ranges - 1`` distinct bounds that cut a bigint column into ranges of about equal counts."""
+    if ranges < 2:
+        return []
+    known = rows.where(F.col(column).isNotNull()).approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.2 / ranges)
+    return sorted({int(b) for b in known})
+
+
+def above(value: Column, bounds: list[int]) -> Column:
+    """How many bounds are at or below the value, by binary search over a literal array."""
+    if not bounds:
+        return F.lit(0)
+    low, high = F.lit(0), F.lit(len(bounds))
+    start = F.struct(low.alias("low"), high.alias("high"))
+    array = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+
+    def step(s: Column, _: Column) -> Column:
+        half = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = F.get(array, half) <= value
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(up, half + 1).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(half).alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, step)["low"]

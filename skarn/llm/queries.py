@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .oracles import REPEATS, SECRETS, SHARDS
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_fingerprints, op5_suffix_array, op6_secret_scans, op7_simhash, op8_chat, op9_sharding, op10_decontamination)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_suffix_array": REPEATS, "op6_secret_scans": SECRETS, "op9_sharding": SHARDS}

@@ -16,10 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import columns_of
+from .common import above, columns_of, quantiles
 
 MULTIPLIER = 2862933555777941757
 ROWS_PER_BUCKET = 50_000
+MOST_BUCKETS = 8192
 _AH, _A1, _A0 = MULTIPLIER >> 32, (MULTIPLIER >> 16) & 0xFFFF, MULTIPLIER & 0xFFFF
 _M16, _M32 = 0xFFFF, 0xFFFFFFFF
 
@@ -58,15 +59,16 @@ def jump_shard(key: Column, shards: int) -> Column:
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
-    Slots are gapless within a shard.  A shard's rows are numbered in buckets of about
-    ``rows_per_bucket`` rows (by hash of the key), whose offsets are a running sum of
-    the buckets' counts, so no task ever holds a whole shard.  The text stays at the
-    scan; only its size and crc travel.
+    Slots are gapless within a shard and follow the ids (nulls first).  A shard's rows are
+    numbered in ranges of ids, cut at quantiles so that a shard has about
+    ``rows_per_bucket`` rows of a range (more in tables that would need over
+    ``MOST_BUCKETS`` ranges), whose offsets are a running sum of their counts, so no task
+    holds a whole shard.  The text stays at the scan; only its size and crc travel.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = columns_of(docs, {id_col: "bigint"}).toDF("doc_id")
-    buckets = max(1, -(-keys.count() // (rows_per_bucket * shards)))
-    bucket = F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(buckets)).cast("int")
+    bounds = quantiles(keys, "doc_id", min(MOST_BUCKETS, max(1, -(-keys.count() // (rows_per_bucket * shards)))))
+    bucket = F.coalesce(above(F.col("doc_id"), bounds), F.lit(0)).cast("int")
     rows = columns_of(docs, {id_col: "bigint", text_col: "string"}).toDF("doc_id", "text").select(
         "doc_id",
         (F.octet_length(text).cast("bigint") + 1).alias("size"),
@@ -79,7 +81,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     counts = keys.select(jump_shard(F.col("doc_id"), shards).alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     return (
         rows.withColumn("rank", F.row_number().over(within))
         .join(offsets, ["shard", "bucket"])

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns_of
+from .common import above, columns_of, quantiles
 from .textops import mix
 
 PRIMES = (2147483647, 2147483629)
@@ -196,10 +196,8 @@ def ranged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows
     are read to find them.  A repeated id lies in one range.
     """
     rows = columns_of(docs, {id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
-    stats = rows.select("doc_id").agg(F.count("*").alias("n")).first()
-    ranges = min(MOST_RANGES, max(1, -(-stats["n"] // rows_per_range)))
-    bounds = sorted(set(rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    return rows, [int(b) for b in bounds]
+    ranges = min(MOST_RANGES, max(1, -(-rows.select("doc_id").count() // rows_per_range)))
+    return rows, quantiles(rows, "doc_id", ranges)
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -207,7 +205,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, bounds = ranged(docs, id_col, text_col, rows_per_range)
     # Range 0 has the largest ids; a null id comes after all.
     count = len(bounds) + 1
-    number = lambda c: F.when(c.isNull(), F.lit(count)).otherwise(F.lit(count - 1) - _above(c, bounds))
+    number = lambda c: F.when(c.isNull(), F.lit(count)).otherwise(F.lit(count - 1) - above(c, bounds))
     rows = rows.withColumn("part", number(F.col("doc_id")).cast("int"))
     tops = {r["part"]: r["top"] for r in rows.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
     full = sorted(tops)
@@ -242,22 +240,6 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return dealt.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _above(value: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below the value, by binary search over a literal array."""
-    if not bounds:
-        return F.lit(0)
-    low, high = F.lit(0), F.lit(len(bounds))
-    start = F.struct(low.alias("low"), high.alias("high"))
-    array = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-
-    def step(s: Column, _: Column) -> Column:
-        half = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        up = F.get(array, half) <= value
-        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(up, half + 1).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(half).alias("high")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, step)["low"]
-
-
 def _row(held: tuple, following: tuple) -> tuple:
     doc_id, points, _, print_ = held
     n = len(points)

@@ -34,6 +34,9 @@ def test_shards_follow_the_jump_hash(spark):
         assert r.grown_shard in (r.shard, 8)
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    for s in set(r.shard for r in got):
+        ids = [r.doc_id for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)]
+        assert ids == sorted(ids)
     keys = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345]
     frame = spark.createDataFrame([(k,) for k in keys], "k bigint")
     for n in (1, 2, 9, 1000):
@@ -135,3 +138,24 @@ def test_links_of_crowded_keys(spark):
         roots = {r.node: r.root for r in components(links(nodes, tile=tile, blocks=blocks)).collect()}
         want = {d: c for d, _, c in brute_classes(list(enumerate(fps)))}
         assert {i: roots.get(i, i) for i in range(len(fps))} == want
+
+
+def test_queries_match_their_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+    import pytest
+
+    from skarn.llm.queries import ORACLE, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    connection = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        connection.execute(f"create view {os.path.basename(path).removesuffix('.parquet')} as select * from '{path}'")
+    for name, sql in ORACLE.items():
+        want = connection.execute(sql)
+        columns = [c[0] for c in want.description]
+        assert Counter(tuple(r[c] for c in columns) for r in QUERIES[name](spark, folder).collect()) == Counter(want.fetchall()), name
