@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skarn.functions.exprs import BATCH_SKIP
 from skarn.functions.embed import HashingProvider, Provider, embedded
 from skarn.operators import chunks as C, diff as D, extract, search, stats
 from skarn.operators.graph import CodeGraph
@@ -27,8 +28,8 @@ class Report:
 class CodeBase:
     """The stored tables of one source tree, and the operations on them."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, provider: Provider | None = None):
-        self.spark, self.root, self.provider = spark, root, provider or HashingProvider()
+    def __init__(self, spark: SparkSession, root: str, store: str, provider: Provider | None = None, skip: tuple[str, ...] = BATCH_SKIP):
+        self.spark, self.root, self.provider, self.skip = spark, root, provider or HashingProvider(), skip
         table = lambda name, schema: VersionedTable(spark, f"{store}/{name}", schema)
         self.files = table("files", "path string, language string, content string")
         self.state = table("state", monitor.STATE)
@@ -38,7 +39,7 @@ class CodeBase:
 
     def ingest(self, force: bool = False) -> Report:
         """Parses what is new or changed, drops what is gone, and rebuilds those files' rows in every table."""
-        found = scan(self.spark, self.root).cache()
+        found = scan(self.spark, self.root, self.skip).cache()
         state = self.state.read()
         changed = found if force else monitor.changed_files(found.select("path", "hash", "modified"), state).select("path").join(found, "path")
         changed = changed.cache()

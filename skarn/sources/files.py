@@ -70,6 +70,19 @@ def binary_files(spark: SparkSession, root: str, skip: tuple[str, ...] = X.BATCH
     return _described(rows.where(X.supported(F.col("path")) & ~X.pruned(F.col("path"), skip)))
 
 
+def file_stream(spark: SparkSession, root: str, skip: tuple[str, ...] = X.MONITOR_SKIP, files_per_trigger: int = 1000) -> DataFrame:
+    """A stream of (path, language, modified, hash, content, error): each new file once.
+
+    Spark's file source reports a path only once; changes and removals of known paths are
+    found by comparing listings (``monitor.classify``) or by ingesting again.
+    """
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(root)
+    plain = F.regexp_replace("path", "^[a-zA-Z0-9]+:/*(?=/)", "")
+    top = os.path.abspath(root) if "://" not in root else root.split("://", 1)[1]
+    rows = stream.select(X.relative(plain, top).alias("path"), F.unix_timestamp("modificationTime").alias("modified"), F.col("content").alias("raw"), F.lit(None).cast("string").alias("error"))
+    return _described(rows.where(X.supported(F.col("path")) & ~X.pruned(F.col("path"), skip)))
+
+
 def _described(rows: DataFrame) -> DataFrame:
     return rows.select("path", X.language(F.col("path")).alias("language"), "modified", F.md5("raw").alias("hash"), F.decode("raw", "UTF-8").alias("content"), "error")
 

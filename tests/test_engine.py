@@ -228,3 +228,26 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     assert len(target.versions()) == 3
     want = latest(spark.createDataFrame(rows, schema), ["path"], ["event_id"])
     assert sorted(map(tuple, target.read().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_file_stream_reports_new_files(spark, tmp_path):
+    from skarn.operators.extract import entity_tables, parsed
+    from skarn.sources.files import file_stream
+
+    folder = tree(tmp_path / "tree")
+    (folder / "vendor").mkdir()
+    (folder / "vendor/skip.ts").write_text("function no() {}")
+    seen = []
+
+    def take(batch, _):
+        seen.extend(r.name for r in entity_tables(parsed(batch))["functions"].select("name").collect())
+
+    def run():
+        file_stream(spark, str(folder)).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    assert sorted(seen) == sorted(["format", "describe", "constructor", "load", "describe", "format", "promote", "audit", "plain", "helper", "add", "twice", "App", "Footer", "Old"])
+    seen.clear()
+    (folder / "src/late.ts").write_text("export function late() {}")
+    run()
+    assert seen == ["late"]
