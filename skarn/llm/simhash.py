@@ -231,12 +231,17 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose id is the smallest of their class; rows without an id stay.
+    """The rows of ``docs``, all columns kept, whose id is the smallest of their class; rows without an id stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    return kept_rows(docs, found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), id_col)
+
+
+def kept_rows(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with the ids of ``keep``, and those without an id.
 
     Rows that repeat such an id are one document: the least of them by content stays.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    keep = written(found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "simhash-kept")
+    keep = written(keep, "simhash-kept")
     names = docs.columns
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     kept = docs.join(keep, id_col, "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
