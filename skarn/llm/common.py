@@ -81,6 +81,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, class_col: str, fold, pe
     return written(rows.join(F.broadcast(ids), "doc_id"), name)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each lengthened until ``df`` has no such column: for private columns beside its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def quantiles(rows: DataFrame, column: str, ranges: int) -> list[int]:
     """At most ``ranges - 1`` distinct bounds that cut a bigint column into ranges of about equal counts."""
     if ranges < 2:
