@@ -9,20 +9,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOCAL_SHARED = "/tmp/skarn-shared"
+#: A key is hot from so many rows on, or from a share of one in ``HOT_KEYS`` on: there are fewer hot keys than that.
+HOT_ROWS, HOT_KEYS = 256, 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local default only where none is configured (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The cluster's shared folder; a local default only where none is configured and all tasks run on this machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or LOCAL_SHARED
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    The table is deleted when the driver's JVM ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/skarn/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has one row for each value of ``key`` (no nulls), without a hot partition.
+
+    The rows of a key that has more than ``max(HOT_ROWS, rows / HOT_KEYS)`` are dealt to
+    as many parts as that needs, and its row of ``one`` goes to each of them.  Fewer than
+    ``HOT_KEYS`` keys can be that hot: only those are broadcast.  ``rows`` must be a
+    written table: the parts follow the places of its rows.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    least = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
+    hot = written(counts.where(F.col("_n") > least).select(key, F.ceil(F.col("_n") / least).cast("int").alias("_parts")), "hot-keys")
+    dealt = rows.withColumn("_spot", F.monotonically_increasing_id()).join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_spot"), F.col("_parts")), F.lit(0))).drop("_spot", "_parts")
+    each = one.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_parts").cast("bigint") - 1, F.lit(0))))).drop("_parts")
+    return dealt.join(each, [key, "_part"], how).drop("_part")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hands texts to Python ``rows`` at a time from now on in this session, unless it asks for fewer already.
 

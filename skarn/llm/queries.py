@@ -45,9 +45,9 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import digest, scan
+    from .secrets import digest, scan_history
 
-    return digest(scan(table(spark, sf_dir, "documents"))[1])
+    return digest(scan_history(table(spark, sf_dir, "documents"))[1])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

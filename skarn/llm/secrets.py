@@ -2,9 +2,10 @@
 
 Every version of a text is content-addressed (SHA-256 of its UTF-8 bytes).  The
 ledger lists the (blob, rule, rule version) triples already scanned together with
-their findings; a run scans only triples that the ledger lacks, each distinct blob
-once however many paths or versions carry it, and joins the findings back to all of
-them.
+their findings; ``update`` scans only triples that the ledger lacks, each distinct blob
+once however many paths or versions carry it, and ``findings`` joins the ledger back to
+all of them.  ``scan_history`` feeds a table to the ledger batch by batch: a blob that
+an earlier batch had is not scanned again.
 
 Positions come from splitting a text at a rule's matches: the pieces between matches
 and the matches themselves alternate, so running sums of their lengths give every
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns_of, written
+from .common import columns_of, join_hot, written
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,9 @@ RULES = (
     Rule("hex", r"([0-9a-f]{16,})", 1, 16),
 )
 
+#: Batches in which a whole table is fed to the ledger.
+BATCHES = 2
+
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -72,44 +76,60 @@ def address(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("blob"))
 
 
-def unseen(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
-    """The distinct blobs and, per blob, the kinds that the ledger doesn't have at the rules' versions."""
-    pairs = blobs.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("r")).select("blob", "r.kind", "r.version")
-    if ledger is not None:
-        pairs = pairs.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-    return pairs.groupBy("blob").agg(F.collect_set("kind").alias("todo"))
-
-
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(new ledger rows, findings of every path: doc_id, blob and the spans by kind).
+def unseen(rows: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
+    """(blob, text, todo): the distinct blobs of the rows, with the kinds that the ledger lacks at the rules' versions.
 
-    One row stands for each blob (the smallest id that carries it, ties by nothing: equal
-    blobs have equal texts).  Only those rows' texts are matched against the rules.
+    Copies of a blob combine before the shuffle, so a hot blob is one row a task.
     """
-    rows = address(versions, id_col, text_col)
-    paths = written(rows.select("doc_id", "blob"), "secret-paths")
-    owners = paths.groupBy("blob").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("owner"))
-    todo = owners if ledger is None else owners.join(unseen(owners, ledger, rules), "blob")
+    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
     every = F.array(*[F.lit(r.kind) for r in rules])
-    todo = todo.withColumn("todo", every) if ledger is None else todo
-    nothing = F.lit(None).cast("array<struct<start:int,end:int>>")
-    texts = columns_of(versions, {id_col: "bigint", text_col: "string"}).toDF("owner", "text")
-    texts = texts.select(F.coalesce("owner", F.lit(0)).alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
-    scanned = (
-        texts.join(todo, "owner")
-        .where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob"))
-        .select("blob", *[F.when(F.array_contains("todo", r.kind), match_spans(F.col("text"), r)).otherwise(nothing).alias(r.kind) for r in rules])
-        .dropDuplicates(["blob"])
-    )
-    scanned = written(scanned, "secret-scans")
-    new = scanned.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])).alias("x")).select("blob", "x.kind", "x.version", "x.spans").where(F.col("spans").isNotNull())
-    full = new if ledger is None else new.unionByName(ledger.select("blob", "kind", "version", "spans"))
-    hits = full.where(F.size("spans") > 0)
-    current = F.lit(False)
+    if ledger is None:
+        return blobs.withColumn("todo", every)
+    seen = ledger.where(_current(rules)).groupBy("blob").agg(F.collect_set("kind").alias("seen"))
+    todo = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+    return blobs.join(seen, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
+
+
+def _current(rules) -> Column:
+    """Ledger rows of the rules at their versions."""
+    now = F.lit(False)
     for r in rules:
-        current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    by_blob = hits.where(current).groupBy("blob").agg(*[F.max(F.when(F.col("kind") == r.kind, F.col("spans"))).alias(r.kind) for r in rules])
-    return new, paths.join(by_blob, "blob", "left")
+        now = now | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    return now
+
+
+def update(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger's new rows: the spans of every (blob, rule, rule version) of the versions that it lacks."""
+    todo = unseen(address(versions, id_col, text_col), ledger, rules)
+    nothing = F.lit(None).cast("array<struct<start:int,end:int>>")
+    scans = [F.when(F.array_contains("todo", r.kind), match_spans(F.col("text"), r)).otherwise(nothing).alias(r.kind) for r in rules]
+    each = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])
+    new = todo.select("blob", *scans).select("blob", F.explode(each).alias("x")).select("blob", "x.kind", "x.version", "x.spans")
+    return written(new.where(F.col("spans").isNotNull()), "secret-ledger")
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans by kind of every path: doc_id, blob and a column for each kind, null where nothing is found."""
+    paths = written(address(versions, id_col, text_col).select("doc_id", "blob"), "secret-paths")
+    hits = ledger.where(_current(rules) & (F.size("spans") > 0))
+    by_blob = hits.groupBy("blob").agg(*[F.max(F.when(F.col("kind") == r.kind, F.col("spans"))).alias(r.kind) for r in rules])
+    return join_hot(paths, by_blob, "blob", "left")
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(new ledger rows, findings of every path of the versions) after one batch."""
+    new = update(versions, ledger, rules, id_col, text_col)
+    return new, findings(versions, new if ledger is None else new.unionByName(ledger.select(*new.columns)), rules, id_col, text_col)
+
+
+def scan_history(versions: DataFrame, batches: int = BATCHES, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(ledger, findings of every path) when the versions come in batches, each scanned against the ledger that the earlier ones left."""
+    ledger = None
+    for b in range(batches):
+        own = versions.where(F.pmod(F.xxhash64(F.lit("batch"), id_col), F.lit(batches)) == b)
+        new = update(own, ledger, rules, id_col, text_col)
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return ledger, findings(versions, ledger, rules, id_col, text_col)
 
 
 def digest(findings: DataFrame, rules=RULES) -> DataFrame:
