@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import columns_of, written
+from .common import HOT_KEYS, columns_of, free_names, join_hot, written
 from .textops import text_blocks
 
 SHINGLE_WORDS = 4
@@ -86,23 +86,17 @@ def _forest(fps: np.ndarray, other: np.ndarray | None, max_bits: int) -> tuple[n
     n = len(fps)
     rows = fps if other is None else np.concatenate([fps, other])
     root = np.arange(len(rows))
-    out: list[tuple[int, int]] = []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    us, vs = [], []
     for i in range(n):
-        rest = rows[i + 1 :] if other is None else other
-        base = i + 1 if other is None else n
-        for j in np.flatnonzero(np.bitwise_count(rest ^ rows[i]) <= max_bits).tolist():
-            a, b = find(i), find(base + j)
-            if a != b:
-                root[b] = a
-                out.append((i, base + j))
-    return np.array([x for x, _ in out], np.int64), np.array([y for _, y in out], np.int64)
+        first = i + 1 if other is None else n
+        near = first + np.flatnonzero((root[first:] != root[i]) & (np.bitwise_count(rows[first:] ^ rows[i]) <= max_bits))
+        if len(near):
+            # One link to each tree that is near.
+            trees, at = np.unique(root[near], return_index=True)
+            us += [i] * len(at)
+            vs += near[at].tolist()
+            root[np.isin(root, trees)] = root[i]
+    return np.array(us, np.int64), np.array(vs, np.int64)
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
@@ -128,8 +122,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE, blocks:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), number, np.int16)), pa.array(key.view(np.int64)), batch.column("fp"), node], names=["choice", "bits", "fp", "node"])
 
     rows = nodes.select("fp", "node").mapInArrow(keyed, "choice smallint, bits bigint, fp bigint, node bigint")
-    sizes = rows.groupBy("choice", "bits").count().where("count > 1")
-    rows = rows.join(sizes, ["choice", "bits"])
+    rows = _sized(rows, tile)
     # A key of k tiles: a row of tile t meets tiles 0..k-1 in the cells (min, max).
     tiles = F.ceil(F.col("count") / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64(F.lit("tile"), "fp"), F.col("tiles")).cast("int")
@@ -153,6 +146,20 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE, blocks:
     return cell.mapInArrow(pairs, "u bigint, v bigint").where("u <> v").distinct()
 
 
+def _sized(rows: DataFrame, tile: int) -> DataFrame:
+    """The rows whose key others share, with the ``count`` of rows of their key.
+
+    Counts combine before the shuffle.  Keys of more than ``tile`` rows, or of more than
+    one in ``HOT_KEYS``, get their count by a broadcast (fewer than ``HOT_KEYS`` keys are
+    that crowded), so that no task gathers them before they are cut into tiles.
+    """
+    keys = ["choice", "bits"]
+    sizes = written(rows.groupBy(*keys).count().where("count > 1"), "simhash-keys")
+    least = max(tile, (sizes.agg(F.sum("count")).first()[0] or 0) // HOT_KEYS)
+    crowded = F.broadcast(sizes.where(F.col("count") > least))
+    return rows.join(crowded, keys).unionByName(rows.join(crowded, keys, "left_anti").join(sizes.where(F.col("count") <= least), keys))
+
+
 def _group_columns(rows: pa.Table) -> list[np.ndarray]:
     return [rows.column(c).to_numpy() for c in ("choice", "bits", "a", "b")]
 
@@ -221,13 +228,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, blocks: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id, links): the class of every row, and how many fingerprints link to its own directly in the spanning links."""
+    """(doc_id, fp, component_id): the fingerprint and the class of every row."""
     fps = written(fingerprints(docs, id_col, text_col), "simhash")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
     edges = written(links(nodes.where("node is not null"), max_bits, tile, blocks), "simhash-links")
     roots = components(edges)
     classes = nodes.join(roots, "node", "left").select(F.col("fp").alias("fp"), F.coalesce("root", "node").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(fps, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,8 +251,9 @@ def kept_rows(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataF
     keep = written(keep, "simhash-kept")
     names = docs.columns
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    kept = docs.join(keep, id_col, "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    return kept.select(*names).union(docs.where(F.col(id_col).isNull()).select(*names))
+    (place,) = free_names(docs, "place")
+    kept = docs.join(keep, id_col, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in names]).union(docs.where(F.col(id_col).isNull()))
 
 
 def hex_digits(column: str):
