@@ -6,11 +6,15 @@ on labelled rows that the counts did not use.  Document rates then minimise
 
     sum over domains of (sum_i rate_i * tokens_i * posterior_i[d] - target_d)**2
 
-subject to ``low <= rate_i <= high`` by projected gradient descent, each domain's
-gradient divided by the domain's token share (a diagonal preconditioner).  A gradient
-is one number per domain; a document's rate is the fold of all gradients so far over
-its posterior, clipped after each, so a step is one distributed sum over a small table
-of (tokens, posteriors) and nothing else is kept between steps.
+subject to ``low <= rate_i <= high`` by projected gradient descent.  A gradient is one
+number per domain, a document's rate the fold of all gradients so far over its posterior,
+clipped after each, so a step is one distributed sum over a small table of (tokens,
+posteriors) and nothing else is kept between steps.  The gradient is scaled by the inverse
+of the domains' joint moments over the documents whose rates are not at a bound, which
+soft memberships need; where that does not lower the sum, it is shortened, and in the end
+replaced by the division by the domains' token shares, whose steps always lower it.  The
+descent stops when every domain is within ``TOLERANCE`` of its target, or when the sum
+falls no more; the report says which.
 
 A rate is carried out by repeating a row ``floor(rate)`` times and once more with the
 probability of the rest, decided by a hash of the id.
@@ -23,19 +27,21 @@ are kept by ``mix`` and ignored otherwise.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns_of, labelled_sample, written
+from .common import columns_of, free_names, labelled_sample, written
 from .textops import row_sums, text_blocks, tokens
 
 BUCKETS = 1 << 16
 PER_DOMAIN = 3000
-LOW, HIGH = 0.0, 4.0
-STEPS, TOLERANCE = 20, 1e-4
+PRIOR_WORDS = 100.0
+#: Rates are nonnegative; an upper bound is a choice of the caller, as it can keep a rare domain from its target.
+LOW, HIGH = 0.0, float("inf")
+STEPS, TOLERANCE = 100, 1e-4
 #: Production weights of the domains (languages); those that a table lacks leave their share to the others.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
@@ -101,7 +107,10 @@ def classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAI
     key, n = found["key"].to_numpy(), found["n"].to_numpy(np.float64)
     counts = np.zeros(len(domains) * BUCKETS)
     counts[key[key >= 0]] = n[key >= 0]
-    counts = counts.reshape(len(domains), BUCKETS) + 0.5
+    counts = counts.reshape(len(domains), BUCKETS)
+    # Every domain's counts are filled up with so many words of all domains together: a small domain stays itself.
+    pooled = counts.sum(axis=0) + 0.01
+    counts = counts + PRIOR_WORDS * pooled / pooled.sum()
     shares = {r[0]: r[1] for r in columns_of(labelled, {"doc_id": "bigint", domain_col: "string"}).groupBy(domain_col).count().collect()}
     prior = np.array([shares[d] for d in domains], np.float64)
     model = Mixture(domains, np.log(counts / counts.sum(axis=1, keepdims=True)).T.copy(), prior / prior.sum())
@@ -126,7 +135,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAI
 
 
 def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, low: float = LOW, high: float = HIGH, domain_col: str = "domain", per_domain: int = PER_DOMAIN) -> tuple[Mixture | None, dict]:
-    """The mixture and a report: per domain the target share, the expected share before and after, and the steps taken.
+    """The mixture and a report: per domain the target share, the expected share before and after, the steps taken and whether all targets are met.
 
     The expected total stays the table's own, unless ``low`` forbids that: then it is the
     least total at which every domain can keep ``low`` of its tokens.
@@ -145,18 +154,27 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     state = columns_of(docs, {"text": "string"}).mapInArrow(memberships, "tokens double, " + ", ".join(f"{c} double" for c in names)).where("tokens > 0")
     state = written(state, "mixing-state")
 
-    def expected() -> np.ndarray:
+    size = len(names)
+    moments = [f"m{i}" for i in range(size * size)]
+
+    def expected(more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens by domain after the gradients so far and some more, and the joint moments of the free documents."""
+        trial = replace(model, gradients=model.gradients + more)
+
         def run(batches):
-            total = np.zeros(len(names))
+            total, joint = np.zeros(size), np.zeros((size, size))
             for batch in batches:
-                p = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
-                total += (model.rates(p) * batch.column("tokens").to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+                p, n = np.stack([batch.column(c).to_numpy() for c in names], axis=1), batch.column("tokens").to_numpy()
+                rate = trial.rates(p)
+                total += (rate * n) @ p
+                free = (rate > low) & (rate < high)
+                joint += (p[free] * n[free, None]).T @ p[free]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*total, *joint.ravel())], names=names + moments)
 
-        row = state.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()
-        return np.array(list(row))
+        row = state.mapInArrow(run, ", ".join(f"{c} double" for c in names + moments)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names + moments]).first()
+        return np.array(row[:size]), np.array(row[size:]).reshape(size, size)
 
-    now = expected()
+    now, joint = expected([])
     total = now.sum()
     if not total:
         return model, {}
@@ -164,16 +182,24 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     wanted = wanted / wanted.sum() if wanted.sum() else now / total
     if low:
         total = max(total, max((low * a / w for a, w in zip(now, wanted, strict=True) if w), default=total))
-    before, steps = now / now.sum(), 0
+    before = now / now.sum()
     share = np.maximum(now / total, 1e-6)
-    for steps in range(1, STEPS + 1):  # noqa: B007
+    loss = lambda x: float((((x / total) - wanted) ** 2 / share).sum())
+    for _ in range(STEPS):
         residual = now / total - wanted
         if np.abs(residual).max() < TOLERANCE:
             break
-        model.gradients.append(residual / share)
-        now = expected()
+        scaled = np.linalg.solve(joint / total + 1e-4 * np.diag(share), residual)
+        for gradient in (scaled, scaled / 4, scaled / 16, residual / share):
+            after, others = expected([gradient])
+            if loss(after) < loss(now) * (1 - 1e-3):
+                break
+        else:
+            break
+        model.gradients.append(gradient)
+        now, joint = after, others
     report = {d: {"target": float(w), "before": float(b), "after": float(a)} for d, w, b, a in zip(model.domains, wanted, before, now / total, strict=True)}
-    return model, {"domains": report, "steps": len(model.gradients), "total": float(total)}
+    return model, {"domains": report, "steps": len(model.gradients), "total": float(total), "met": bool(np.abs(now / total - wanted).max() < TOLERANCE)}
 
 
 def _copies(rate):
@@ -207,13 +233,13 @@ def mix(docs: DataFrame, model: Mixture | None) -> DataFrame:
     """``docs`` itself with every row repeated as its rate says (all columns kept)."""
     if model is None:
         return docs
-    names = docs.columns
+    rate, copies, copy = free_names(docs, "rate", "copies", "copy")
 
     def run(batches):
         for part, data, offsets in text_blocks(batches):
             _, p = model.posteriors(data, offsets)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.rates(p))], names=[*part.schema.names, "_rate"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.rates(p))], names=[*part.schema.names, rate])
 
-    schema = docs.limit(0).withColumn("_rate", F.lit(0.0)).schema
-    rows = docs.mapInArrow(run, schema).withColumn("_copies", _copies(F.col("_rate")))
-    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    schema = docs.limit(0).withColumn(rate, F.lit(0.0)).schema
+    rows = docs.mapInArrow(run, schema).withColumn(copies, _copies(F.col(rate)))
+    return rows.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,22 +40,26 @@ def test_reaches_the_targets(spark):
     assert mixed.count() == sum(r.copies for r in found)
 
 
-def test_same_as_dense_descent(spark):
+def test_as_good_as_dense_descent(spark):
+    """Plain projected descent over all documents, run until nothing changes, finds no better rates."""
     from skarn.llm.mixing import fit, rated
     from skarn.llm.textops import text_buffers
     import pyarrow as pa
 
     rows = corpus(200)
     docs = spark.createDataFrame(rows, SCHEMA)
-    model, report = fit(docs, docs, {"a": 0.1, "b": 0.8, "c": 0.1}, low=0.5, high=2.0)
-    n, p = model.posteriors(*text_buffers(pa.array([r[1] for r in rows])))
-    rate, total = np.ones(len(rows)), report["total"]
-    wanted = np.array([0.1, 0.8, 0.1])
-    share = (n @ p) / total
-    for _ in range(report["steps"]):
-        rate = np.clip(rate - p @ (((rate * n) @ p / total - wanted) / share), 0.5, 2.0)
-    got = {r.doc_id: r.rate for r in rated(docs, model).collect()}
-    assert np.allclose([got[r[0]] for r in rows], rate)
+    for targets, low, high, met in (((0.1, 0.8, 0.1), 0.5, 2.0, False), ((0.1, 0.6, 0.3), 0.0, float("inf"), True)):
+        model, report = fit(docs, docs, dict(zip("abc", targets, strict=True)), low=low, high=high)
+        n, p = model.posteriors(*text_buffers(pa.array([r[1] for r in rows])))
+        total, share = report["total"], (n @ p) / report["total"]
+        miss = lambda rate: (((rate * n) @ p / total - targets) ** 2 / share).sum()
+        rate = np.ones(len(rows))
+        for _ in range(20000):
+            rate = np.clip(rate - p @ (((rate * n) @ p / total - targets) / share), low, high)
+        got = {r.doc_id: r.rate for r in rated(docs, model).collect()}
+        got = np.array([got[r[0]] for r in rows])
+        assert report["met"] == met and (got >= low).all() and (got <= high).all()
+        assert miss(got) <= miss(rate) * 1.01 + 1e-6
 
 
 def test_nothing_to_learn_from(spark):
