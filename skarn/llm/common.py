@@ -34,16 +34,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``one``, which has one row for each value of ``key`` (no nulls), without a hot partition.
 
     The rows of a key that has more than ``max(HOT_ROWS, rows / HOT_KEYS)`` are dealt to
     as many parts as that needs, and its row of ``one`` goes to each of them.  Fewer than
-    ``HOT_KEYS`` keys can be that hot: only those are broadcast.  ``rows`` must be a
-    written table: the parts follow the places of its rows.
+    ``HOT_KEYS`` keys can be that hot: only those are broadcast.  ``rows`` must come
+    straight from a written table, as the parts follow the places of its rows; ``total``
+    is at least their number, where that is known.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    least = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
+    if total is None:
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS)
     hot = written(counts.where(F.col("_n") > least).select(key, F.ceil(F.col("_n") / least).cast("int").alias("_parts")), "hot-keys")
     dealt = rows.withColumn("_spot", F.monotonically_increasing_id()).join(F.broadcast(hot), key, "left")
     dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_spot"), F.col("_parts")), F.lit(0))).drop("_spot", "_parts")

@@ -207,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs all neighbours of a node, and the node, on the least of them
     (large-star and small-star in turn), with aggregates and joins only, and stops when
-    the edges no longer change.
+    the edges no longer change.  The many neighbours of a star's centre are dealt out.
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
     seen = None
@@ -218,10 +218,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_hot(both, least, "u", total=2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), "cc")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = join_hot(large, least, "u", total=2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct(), "cc")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots
