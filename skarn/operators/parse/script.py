@@ -8,6 +8,7 @@ around them.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from .lexer import Lexer, Token, matches
@@ -34,6 +35,7 @@ class Script:
         self.match = matches(self.tokens)
         self.n = len(self.tokens)
         self.spans: list[Span] = []
+        self._nested: dict[tuple[str, ...], tuple] = {}
         self.declared: set[int] = set()  # name tokens of definitions: not calls
         self.functions: list[tuple[int, int, dict]] = []  # (pass, position, record)
         self.out: dict[str, list[dict]] = {k: [] for k in ("imports", "variables", "types", "interfaces", "classes", "constants", "jsx_elements", "function_calls", "type_usages", "extends", "implements", "references")}
@@ -442,11 +444,21 @@ class Script:
     # Uses ----------------------------------------------------------------------------
 
     def _inside(self, at: int, kinds: tuple[str, ...]) -> Span | None:
-        best = None
-        for s in self.spans:
-            if s.kind in kinds and s.first <= at <= s.last and (best is None or s.first > best.first or s.first == best.first and s.last < best.last):
-                best = s
-        return best
+        """The innermost span of those kinds around a token: the last to begin before it, or one that holds that."""
+        if self._nested.get(kinds, (None,))[0] != len(self.spans):
+            spans = sorted((s for s in reversed(self.spans) if s.kind in kinds), key=lambda s: (s.first, -s.last))
+            outer, open_ = [], []
+            for i, s in enumerate(spans):
+                while open_ and spans[open_[-1]].last < s.first:
+                    open_.pop()
+                outer.append(open_[-1] if open_ else -1)
+                open_.append(i)
+            self._nested[kinds] = (len(self.spans), spans, [s.first for s in spans], outer)
+        _, spans, firsts, outer = self._nested[kinds]
+        i = bisect_right(firsts, at) - 1
+        while i >= 0 and spans[i].last < at:
+            i = outer[i]
+        return spans[i] if i >= 0 else None
 
     def _caller(self, at: int) -> str:
         # A span's own head counts as inside; a declaration's name itself never calls.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from .lexer import ParseError
 
@@ -23,6 +24,11 @@ def parse_style(text: str, scss: bool) -> list[dict]:
         return re.sub(r"[^\n]", " ", part) if part.startswith("/") else part
 
     code = _SKIP.sub(blank, text)
+    breaks = [m.start() for m in re.finditer("\n", code)]
+
+    def line_of(place: int) -> int:
+        return bisect_left(breaks, place) + 1
+
     rules: list[dict] = []
     start = depth = 0
     for m in re.finditer(r"[{};]", code):
@@ -32,15 +38,15 @@ def parse_style(text: str, scss: bool) -> list[dict]:
             if not piece.lstrip().startswith("@") or piece.lstrip().startswith(("@at-root", "@extend")):
                 for s in _SELECTOR.finditer(re.sub(r"#\{[^}]*\}|\[[^\]]*\]", lambda x: " " * len(x.group()), piece)):
                     kind = "class" if s.group(1) == "." else "id"
-                    rules.append({"selector": s.group(), "rule_type": kind, "line": code.count("\n", 0, at + s.start(2)) + 1, "property_name": "", "value": ""})
+                    rules.append({"selector": s.group(), "rule_type": kind, "line": line_of(at + s.start(2)), "property_name": "", "value": ""})
         else:
             if v := _VARIABLE.match(piece):
-                line = code.count("\n", 0, at + v.start(1)) + 1
+                line = line_of(at + v.start(1))
                 rules.append({"selector": v.group(1), "rule_type": "variable", "line": line, "property_name": v.group(1), "value": v.group(2).strip()})
             if m.group() == "}":
                 depth -= 1
                 if depth < 0:
-                    raise ParseError(f"line {code.count(chr(10), 0, m.start()) + 1}: unexpected }}")
+                    raise ParseError(f"line {line_of(m.start())}: unexpected }}")
         start = m.end()
     if depth:
         raise ParseError("unclosed block")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def belongs_to(entities: DataFrame, files: DataFrame, entity_key: str, file_key: str) -> DataFrame:
@@ -44,13 +44,22 @@ def resolve_qualified(calls: DataFrame, functions: DataFrame, classes: DataFrame
 
 
 def innermost(points: DataFrame, spans: DataFrame, group: list[str], at: str, start: str = "start_line", end: str = "end_line") -> DataFrame:
-    """Each point with the innermost span of its group that contains it (latest start, then earliest end)."""
-    key = [c for c in points.columns]
-    joined = points.join(spans, group, "left") if group else points.crossJoin(F.broadcast(spans))
-    inside = joined.where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
-    place = Window.partitionBy(*key).orderBy(F.col(start).desc(), F.col(end))
-    best = inside.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")
-    return best
+    """Every point, repeated ones too, with the columns of the innermost span of its group that contains it.
+
+    Innermost is the latest start, then the earliest end; points in no span have nulls.
+    The span depends on the group and the place only, so distinct places meet the spans of
+    their group in ranges of places, and the points then join their place's span.  The
+    ranges are so wide that a span lies in at most about ``1024``.
+    """
+    low, high = spans.agg(F.min(start), F.max(end)).first()
+    width = max(1.0, (float(high) - float(low)) / 1024) if low is not None else 1.0
+    part = lambda c: F.floor(c / width).cast("bigint")
+    own = [c for c in spans.columns if c not in group]
+    each = spans.where(F.col(start) <= F.col(end)).withColumn("_part", F.explode(F.sequence(part(F.col(start)), part(F.col(end)))))
+    places = points.select(*group, at).where(F.col(at).isNotNull()).distinct().withColumn("_part", part(F.col(at)))
+    inside = places.join(each, [*group, "_part"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
+    best = inside.groupBy(*group, at).agg(F.max_by(F.struct(*own), F.struct(F.col(start), -F.col(end))).alias("_span"))
+    return points.join(best, [*group, at], "left").select(*points.columns, *[F.col("_span")[c].alias(c) for c in own])
 
 
 def one_hop(edges: DataFrame, source: DataFrame, target: DataFrame, src: tuple[str, str], dst: tuple[str, str]) -> DataFrame:

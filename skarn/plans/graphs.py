@@ -90,9 +90,9 @@ def coalesce_join(t):
     return relate.coalesce_join(children, parents.where("n_regionkey < 2").withColumn("target", F.col("n_name")), parents.where("n_regionkey < 4").withColumn("target", F.concat(F.lit("i"), "n_name")), "name", "target")
 
 
-@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9000")
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def name_many_to_many(t):
-    return t.supplier.join(t.customer.where("c_acctbal > 9000"), F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey")
+    return t.supplier.join(t.customer, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey")
 
 
 @query("""WITH f AS (SELECT o_custkey AS file, o_orderpriority AS name, max(o_orderkey) AS target_seq FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2)
@@ -116,16 +116,26 @@ def qualified_resolution(t):
     return relate.resolve_qualified(calls, functions, classes).select("file", "call", "owner", "method", "target_seq")
 
 
-SPANS = [("outer", 1, 50), ("first", 5, 20), ("nested", 8, 12), ("second", 30, 44), ("tail", 44, 50)]
+#: Lines 1, 2 and 49, 50 are in no span.
+SPANS = [("outer", 3, 48), ("first", 5, 20), ("nested", 8, 12), ("second", 30, 44), ("tail", 44, 48)]
 
 
-@query(f"""WITH spans(name, start_line, end_line) AS (VALUES {', '.join(map(str, SPANS))})
-SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, name AS scope FROM (SELECT l_orderkey, l_linenumber, name, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_quantity ORDER BY start_line DESC, end_line) AS n
-FROM lineitem JOIN spans ON start_line <= l_quantity AND l_quantity <= end_line) WHERE n = 1""")
+@query(f"""WITH spans(name, first, last) AS (VALUES {', '.join(map(str, SPANS))})
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce((SELECT arg_max(name, (first, -last)) FROM spans WHERE l_quantity BETWEEN first AND last), '') AS scope FROM lineitem""")
 def innermost_scope(t):
-    spans = t.spark.createDataFrame(SPANS, "name string, start_line int, end_line int")  # five rows: bounded
+    spans = t.spark.createDataFrame(SPANS, "name string, start_line int, end_line int")
     points = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity")
-    return relate.innermost(points, spans, [], "l_quantity").select("l_orderkey", "l_linenumber", F.col("name").alias("scope"))
+    return relate.innermost(points, spans, [], "l_quantity").select("l_orderkey", "l_linenumber", F.coalesce("name", F.lit("")).alias("scope"))
+
+
+@query("""WITH calls AS (SELECT l_orderkey AS file, l_quantity AS line, l_linenumber FROM lineitem),
+spans AS (SELECT l_orderkey AS file, l_linenumber AS name, least(l_quantity, l_discount * 500) AS first, greatest(l_quantity, l_discount * 500) AS last FROM lineitem WHERE l_returnflag = 'R')
+SELECT file, c.l_linenumber::BIGINT AS l_linenumber, line, (SELECT max(s.first) FROM spans s WHERE s.file = c.file AND line BETWEEN s.first AND s.last) AS start_line FROM calls c""")
+def innermost_by_file(t):
+    rows = t.lineitem.withColumnRenamed("l_orderkey", "file")
+    points = rows.select("file", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.col("l_quantity").alias("line"))
+    spans = rows.where("l_returnflag = 'R'").select("file", F.expr("least(l_quantity, l_discount * 500)").alias("start_line"), F.expr("greatest(l_quantity, l_discount * 500)").alias("end_line"))
+    return relate.innermost(points, spans, ["file"], "line").select("file", "l_linenumber", "line", "start_line")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")

@@ -24,9 +24,13 @@ def query_vector(t: Tables) -> list[float]:
     return list(row[0])
 
 
-CHUNKS = """chunks AS (SELECT vec_id AS id, source AS chunk_type, 'doc_' || doc_id AS name, source AS file_path, text AS content, lang AS language,
-  1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d
-  FROM embeddings JOIN documents ON doc_id = vec_id)"""
+def query_set(t: Tables) -> DataFrame:
+    """The stated queries: every row whose id is divisible by 20."""
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+PAIRS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+chunks AS (SELECT vec_id AS id, source AS chunk_type, 'doc_' || doc_id AS name, source AS file_path, text AS content, lang AS language, embedding::DOUBLE[] AS e FROM embeddings JOIN documents ON doc_id = vec_id)"""
 
 
 @query("""SELECT vec_id, label, round(d, 6) AS similarity_distance, round(d, 6) AS distance, round(1 - d, 6) AS similarity_score
@@ -37,31 +41,40 @@ def vector_topk(t):
     return found.select(F.col("id").alias("vec_id"), "label", *[F.round(c, 6).alias(c) for c in ("similarity_distance", "distance", "similarity_score")])
 
 
-@query(f"WITH {CHUNKS} SELECT id, chunk_type, language, round(d, 6) AS distance FROM chunks WHERE chunk_type = 'src1' AND language = 'en' ORDER BY d, id LIMIT 10")
+@query("""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 12) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT query_id, id, label, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d) WHERE n <= 10""")
+def vector_topk_all(t):
+    found = search.similar_many(t.embeddings.withColumnRenamed("vec_id", "id"), query_set(t), 10)
+    return found.select("query_id", "id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH {PAIRS}, d AS (SELECT query_id, id, chunk_type, language, round(1 - list_cosine_similarity(e, v), 12) AS d FROM q, chunks WHERE chunk_type = 'src1' AND language = 'en')
+SELECT query_id, id, chunk_type, language, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d) WHERE n <= 10""")
 def vector_topk_filtered(t):
-    found = search.similar(chunk_table(t), query_vector(t), 10, {"chunk_type": "src1", "language": "en", "limit": 3})
-    return found.select("id", "chunk_type", "language", F.round("distance", 6).alias("distance"))
+    found = search.similar_many(chunk_table(t), query_set(t), 10, {"chunk_type": "src1", "language": "en", "limit": 3})
+    return found.select("query_id", "id", "chunk_type", "language", F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH {CHUNKS} SELECT id, file_path, round(d, 6) AS distance FROM chunks WHERE file_path LIKE '%rc1%' ORDER BY d, id LIMIT 10")
+@query(f"""WITH {PAIRS}, d AS (SELECT query_id, id, file_path, round(1 - list_cosine_similarity(e, v), 12) AS d FROM q, chunks WHERE file_path LIKE '%rc1%')
+SELECT query_id, id, file_path, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d) WHERE n <= 10""")
 def vector_topk_path_like(t):
-    found = search.similar(chunk_table(t), query_vector(t), 10, {"file_path": "rc1"})
-    return found.select("id", "file_path", F.round("distance", 6).alias("distance"))
+    found = search.similar_many(chunk_table(t), query_set(t), 10, {"file_path": "rc1"})
+    return found.select("query_id", "id", "file_path", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH {CHUNKS}, s AS (SELECT *, CASE WHEN contains(lower(content), 'the') THEN 0.2 WHEN contains(lower(name), 'the') THEN 0.1 ELSE 0 END AS kw
-FROM chunks WHERE contains(lower(content), 'the') OR contains(lower(name), 'the'))
-SELECT id, name, round(d, 6) AS distance, kw::DOUBLE AS keyword_score, round(1 - d + kw, 6) AS combined_score FROM s ORDER BY d - kw, id LIMIT 10""")
+@query(f"""WITH {PAIRS}, d AS (SELECT query_id, id, name, round(1 - list_cosine_similarity(e, v), 12) AS d, CASE WHEN contains(lower(content), 'the') THEN 0.2::DOUBLE WHEN contains(lower(name), 'the') THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS kw
+FROM q, chunks WHERE contains(lower(content), 'the') OR contains(lower(name), 'the'))
+SELECT query_id, id, name, round(d, 6) AS distance, kw AS keyword_score, round(1 - d + kw, 6) AS combined_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d - kw, id) AS n FROM d) WHERE n <= 10""")
 def hybrid_search(t):
-    found = search.hybrid(chunk_table(t), query_vector(t), "THE", 10)
-    return found.select("id", "name", F.round("distance", 6).alias("distance"), "keyword_score", F.round("combined_score", 6).alias("combined_score"))
+    found = search.hybrid_many(chunk_table(t), query_set(t), "THE", 10)
+    return found.select("query_id", "id", "name", F.round("distance", 6).alias("distance"), "keyword_score", F.round("combined_score", 6).alias("combined_score"))
 
 
-@query(f"""WITH {CHUNKS}, s AS (SELECT *, CASE WHEN contains(lower(content), 'ing') THEN 0.1 ELSE 0 END AS kw FROM chunks WHERE chunk_type = 'src2')
-SELECT name, file_path, round(d, 6) AS distance, kw::DOUBLE AS keyword_boost FROM s ORDER BY d - kw, id LIMIT 10""")
+@query(f"""WITH {PAIRS}, d AS (SELECT query_id, id, name, file_path, round(1 - list_cosine_similarity(e, v), 12) AS d, CASE WHEN contains(lower(content), 'ing') THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS kw FROM q, chunks WHERE chunk_type = 'src2')
+SELECT query_id, name, file_path, round(d, 6) AS distance, kw AS keyword_boost FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d - kw, id) AS n FROM d) WHERE n <= 10""")
 def hybrid_search_boost_only(t):
-    found = search.boosted(chunk_table(t), query_vector(t), "ing", 10, {"chunk_type": "src2"})
-    return found.select("name", "file_path", F.round("distance", 6).alias("distance"), "keyword_boost")
+    found = search.boosted_many(chunk_table(t), query_set(t), "ing", 10, {"chunk_type": "src2"})
+    return found.select("query_id", "name", "file_path", F.round("distance", 6).alias("distance"), "keyword_boost")
 
 
 @query("""SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
@@ -71,13 +84,17 @@ def vector_pair_distance(t):
     return a.join(b, F.col("b_id") == F.col("a_id") + 1).select("a_id", "b_id", F.round(cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
-@query("""SELECT vec_id, label FROM (SELECT vec_id, label, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d FROM embeddings)
-ORDER BY d, vec_id LIMIT 1""")
+@query("SELECT count(*) AS queries, 10 * count(*) AS found, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")
 def ann_index_search(t):
+    """The index's ten nearest for every stated query, held against the exact ones: the queries' own rows don't count."""
     rows = t.embeddings.withColumnRenamed("vec_id", "id")
-    vector = query_vector(t)
-    index = search.SignIndex(len(vector))
-    return index.search(index.build(rows), vector, 1).select(F.col("id").alias("vec_id"), "label")
+    index = search.SignIndex(len(query_vector(t)))
+    others = F.col("id") != F.col("query_id")
+    near = index.search_many(index.build(rows), query_set(t), 11).select("query_id", "id")
+    exact = search.similar_many(rows, query_set(t), 11).where(others).select("query_id", "id", F.lit(True).alias("right"))
+    both = near.where(others).join(exact, ["query_id", "id"], "left")
+    total = both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("found"), F.count("right").alias("right"))
+    return total.select("queries", "found", (F.col("right") >= 0.9 * 10 * F.col("queries")).alias("recall_reached"))
 
 
 @query("SELECT doc_id, lang, source, length(text) AS n FROM documents WHERE doc_id = 7")

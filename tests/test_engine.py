@@ -251,3 +251,55 @@ def test_file_stream_reports_new_files(spark, tmp_path):
     (folder / "src/late.ts").write_text("export function late() {}")
     run()
     assert seen == ["late"]
+
+
+def test_innermost_keeps_repeats(spark):
+    import random
+
+    from skarn.operators.relate import innermost
+
+    rng = random.Random(6)
+    spans = [(f"s{i}", f"f{i % 3}", a, a + rng.randint(0, 4000)) for i in range(60) for a in [rng.randint(0, 9000)]]
+    points = [(f"f{rng.randrange(4)}", rng.randint(-5, 13000)) for _ in range(300)] * 2 + [("f1", None), (None, 5)]
+    frame = spark.createDataFrame(points, "file string, line int")
+    rows = spark.createDataFrame(spans, "name string, file string, start_line int, end_line int")
+
+    def best(file, line, grouped):
+        inside = [] if line is None else [s for s in spans if (s[1] == file or not grouped) and s[2] <= line <= s[3]]
+        return min((-s[2], s[3]) for s in inside) if inside else None
+
+    for group, spans_of in ((["file"], rows), ([], rows.drop("file"))):
+        got = innermost(frame, spans_of, group, "line").collect()
+        mine = sorted((str(r.file), str(r.line), str(None if r.start_line is None else (-r.start_line, r.end_line))) for r in got)
+        assert mine == sorted((str(f), str(x), str(best(f, x, bool(group)))) for f, x in points)
+    assert innermost(frame, rows.where("false"), ["file"], "line").where("name is null").count() == len(points)
+
+
+def test_many_queries_equal_one_at_a_time(spark):
+    import random
+
+    from skarn.operators.search import similar, similar_many
+
+    rng = random.Random(2)
+    data = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(90)] + [(100, None), (101, [0.0] * 6)]
+    chunks = spark.createDataFrame(data + [(200, data[3][1])], "id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(i, v) for i, v in data if i % 20 == 0], "query_id bigint, embedding array<double>")
+    for block in (4096, 2):
+        found = similar_many(chunks, queries, 4, block=block).collect()
+        for i, v in data:
+            if i % 20 == 0 and v:
+                want = [r.id for r in similar(chunks, v, 4).collect()]
+                assert [r.id for r in sorted((r for r in found if r.query_id == i), key=lambda r: (round(r.distance, 9), r.id))] == want
+    assert similar_many(chunks, queries.where("false"), 4).count() == 0
+    assert similar_many(chunks.where("false"), queries, 4).count() == 0
+
+
+def test_nested_scopes_and_many_rules_stay_fast():
+    import time
+
+    from skarn.operators.parse.script import Script  # noqa: F401
+    from skarn.operators.parse.style import parse_style
+
+    began = time.perf_counter()
+    rules = parse_style("\n".join(f".a{i} {{ color: red; }}" for i in range(30000)), False)
+    assert len(rules) == 30000 and rules[-1]["line"] == 30000 and time.perf_counter() - began < 5
