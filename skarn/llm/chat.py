@@ -5,14 +5,17 @@ in turn, ending with the assistant.  Dynamic programming over its states picks,
 each given turn, the cheapest of keeping its role, relabelling it, merging it into the
 turn before it, or inserting an empty turn in front of it; at the end an empty turn
 may be inserted too.  Costs are fixed numbers below; ties take the earliest choice in
-the order system, user, assistant.
+the order system, user, assistant (of equally cheap repairs of a conversation that
+crosses ranges, the states at the ranges' ends are chosen first).
 
 A conversation may be of any length: rows are dealt by ranges of (conversation, turn),
 so a long one spans several tasks.  Every task folds the turns of a conversation that
-crosses its ends into one state-to-state cost matrix (min-plus products); the driver
-chains those few matrices (at most two for each range) and tells every range the
-states in which its crossing conversations enter and leave; then each range traces
-back its own turns.
+crosses its ends into one state-to-state cost matrix (min-plus products), at most two
+for each range.  ``FAN`` ranges at a time are folded the same way, and so on, until one
+group is left; from there down every group is told the states in which its crossing
+conversations enter and leave, and tells its members theirs, until each range traces
+back its own turns.  No task and not the driver ever holds more than ``FAN`` ranges'
+matrices.
 
 The result has one row for each repaired turn part, in order: the concatenation of
 ``rendered`` over a conversation in the order of (turn, piece) is the formatted
@@ -38,6 +41,7 @@ SYNONYMS = {"human": "user", "prompter": "user", "customer": "user", "gpt": "ass
 START, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, RELABEL, GUESS, INSERT = 1.0, 2.0, 0.5, 1.5
 ROWS_PER_RANGE = 4096
+FAN = 2048
 _BIG = 1e18
 _NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 
@@ -143,9 +147,8 @@ def _pieces(given: list[str | None], texts: list[str | None], roles: list[int],
             yield i, piece + 1, None, ROLES[(END[state][1] or [state])[-1] - 1], "close", CLOSE
 
 
-def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", ranges: int | None = None, fan: int = FAN) -> DataFrame:
     """conv_id, turn, piece, given, role, action and rendered of every repaired turn part."""
-    spark = turns.sparkSession
     rows = columns_of(turns, {conv_col: "bigint", turn_col: "bigint", role_col: "string", text_col: "string"}).toDF("conv_id", "turn", "role", "text")
     ranges = ranges or max(1, -(-rows.select("conv_id").count() // ROWS_PER_RANGE))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
@@ -162,49 +165,94 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     def crossing(block: pa.Table) -> pa.Table:
         block, conv, parts = segments(block)
         names = block.column("role").to_pylist()
-        ends = sorted({parts[0], parts[-1]}) if parts else []
-        matrices = [transfer([canonical(r) for r in names[a:b]]).ravel().tolist() for a, b in ends]
         number = block.column("part")[0].as_py()
-        return pa.table({"part": pa.array([number] * len(ends), pa.int32()), "conv_id": pa.array([conv[a] for a, _ in ends], pa.int64()), "first": pa.array([a == 0 for a, _ in ends]), "last": pa.array([b == len(conv) for _, b in ends]), "cost": pa.array(matrices, pa.list_(pa.float64()))})
+        return _rims([(number, conv[a], a == 0, b == len(conv), transfer([canonical(r) for r in names[a:b]])) for a, b in sorted({parts[0], parts[-1]})] if parts else [])
 
-    rims = dealt.select("part", "place", "conv_id", "role").groupBy("part").applyInArrow(crossing, "part int, conv_id bigint, first boolean, last boolean, cost array<double>")
-    states = _chain(rims.collect())
-    told = spark.sparkContext.broadcast(states)  # at most two conversations for each range
+    rims = dealt.select("part", "place", "conv_id", "role").groupBy("part").applyInArrow(crossing, RIMS)
+    states = crossings(rims, ranges, fan)
 
-    def render(block: pa.Table) -> pa.Table:
-        block, conv, parts = segments(block)
-        number = block.column("part")[0].as_py()
-        names, texts, numbers = (block.column(c).to_pylist() for c in ("role", "text", "turn"))
+    def render(block: pa.Table, told: pa.Table) -> pa.Table:
+        known = {r["conv_id"]: (r["enter"], r["leave"], r["ends"]) for r in told.to_pylist()}
         out: list[tuple] = []
-        for a, b in parts:
-            enter, leave, last = told.value.get((number, conv[a]), (START, None, True))
-            roles = trace([canonical(r) for r in names[a:b]], enter, leave)
-            out += [(conv[a], numbers[a + i], piece, given, role, action, text) for i, piece, given, role, action, text in _pieces(names[a:b], texts[a:b], roles, enter, last)]
+        if block.num_rows:
+            block, conv, parts = segments(block)
+            names, texts, numbers = (block.column(c).to_pylist() for c in ("role", "text", "turn"))
+            for a, b in parts:
+                enter, leave, last = known.get(conv[a], (START, None, True))
+                roles = trace([canonical(r) for r in names[a:b]], enter, leave)
+                out += [(conv[a], numbers[a + i], piece, given, role, action, text) for i, piece, given, role, action, text in _pieces(names[a:b], texts[a:b], roles, enter, last)]
         kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4]
         columns = list(zip(*out, strict=True)) or [()] * 7
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "piece", "given", "role", "action", "rendered"])
 
-    return dealt.groupBy("part").applyInArrow(render, SCHEMA)
+    return dealt.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(render, SCHEMA)
+
+
+RIMS = "part int, conv_id bigint, first boolean, last boolean, cost array<double>"
+STATES = "part int, conv_id bigint, enter int, leave int, ends boolean"
+
+
+def _rims(rows: list[tuple]) -> pa.Table:
+    """(part, conversation, whether it holds the part's first turn, its last turn, cost matrix) as a table."""
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    costs = pa.array([c.ravel().tolist() for c in columns[4]], pa.list_(pa.float64()))
+    return pa.table({"part": pa.array(columns[0], pa.int32()), "conv_id": pa.array(columns[1], pa.int64()), "first": pa.array(columns[2], pa.bool_()), "last": pa.array(columns[3], pa.bool_()), "cost": costs})
+
+
+def crossings(rims: DataFrame, parts: int, fan: int) -> DataFrame:
+    """(part, conv_id, enter, leave, ends): the states of the conversations that cross the ends of parts."""
+    if parts <= fan:
+        group = rims.withColumn("group", F.lit(0))
+        return group.groupBy("group").applyInArrow(lambda block: _assigned(block.to_pylist(), {}), STATES)
+    rims = written(rims, "chat-rims").withColumn("group", F.floor(F.col("part") / fan).cast("int"))
+    above = crossings(rims.groupBy("group").applyInArrow(_folded, RIMS), -(-parts // fan), fan)
+    above = above.withColumnRenamed("part", "group")
+
+    def down(block: pa.Table, told: pa.Table) -> pa.Table:
+        return _assigned(block.to_pylist(), {r["conv_id"]: (r["enter"], r["leave"], r["ends"]) for r in told.to_pylist()})
+
+    return rims.groupBy("group").cogroup(above.groupBy("group")).applyInArrow(down, STATES)
 
 
-def _chain(rims: list) -> dict[tuple[int, int | None], tuple[int, int | None, bool]]:
-    """(enter, leave, whether the conversation ends there) for conversations that cross range ends."""
+def _runs(rims: list[dict]) -> list[list[dict]]:
+    """The rims in order, those of one conversation that goes on from part to part together."""
     runs: list[list] = []
     for r in sorted(rims, key=lambda r: (r["part"], not r["first"])):
         linked = runs and runs[-1][-1]["conv_id"] == r["conv_id"] and runs[-1][-1]["part"] != r["part"] and runs[-1][-1]["last"] and r["first"]
         runs[-1].append(r) if linked else runs.append([r])
-    out = {}
-    for run in (r for r in runs if len(r) > 1):
+    return runs
+
+
+def _folded(block: pa.Table) -> pa.Table:
+    """The rims of a group of parts: its first and its last conversation, each with the product of its matrices."""
+    runs, out = _runs(block.to_pylist()), []
+    for i in sorted({0, len(runs) - 1}):
+        total = np.array(runs[i][0]["cost"]).reshape(4, 4)
+        for r in runs[i][1:]:
+            total = (total[:, :, None] + np.array(r["cost"]).reshape(4, 4)[None]).min(axis=1)
+        out.append((block.column("group")[0].as_py(), runs[i][0]["conv_id"], i == 0, i == len(runs) - 1, total))
+    return _rims(out)
+
+
+def _assigned(rims: list[dict], given: dict[int | None, tuple[int, int | None, bool]]) -> pa.Table:
+    """(enter, leave, whether the conversation ends there) of the parts' crossing conversations; ``given``: those of the whole group's."""
+    rows = []
+    for run in _runs(rims):
+        if len(run) == 1 and run[0]["conv_id"] not in given:
+            continue
+        enter, leave, ends = given.get(run[0]["conv_id"], (START, None, True))
         cost = np.full(4, _BIG)
-        cost[START] = 0.0
+        cost[enter] = 0.0
         backs = []
         for r in run:
             step = cost[:, None] + np.array(r["cost"]).reshape(4, 4)
             backs.append(step.argmin(axis=0))
             cost = step.min(axis=0)
-        state = int(np.argmin(cost + np.array([END[s][0] for s in range(4)])))
+        state = leave if leave is not None else int(np.argmin(cost + np.array([END[s][0] for s in range(4)])))
         for i in range(len(run) - 1, -1, -1):
-            enter = int(backs[i][state])
-            out[run[i]["part"], run[i]["conv_id"]] = (enter, state, i == len(run) - 1)
-            state = enter
-    return out
+            before = int(backs[i][state])
+            rows.append((run[i]["part"], run[i]["conv_id"], before, state, ends and i == len(run) - 1))
+            state = before
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "conv_id", "enter", "leave", "ends"])

@@ -51,9 +51,9 @@ def test_repair_is_cheapest_and_legal(spark):
     rng.shuffle(data)
     frame = spark.createDataFrame(data, SCHEMA)
     results = []
-    for ranges in (1, 9):
+    for ranges, fan in ((1, 2048), (9, 2048), (9, 2)):
         got = defaultdict(list)
-        for r in sorted(repair(frame, ranges=ranges).collect(), key=lambda r: (r.conv_id, r.turn, r.piece)):
+        for r in sorted(repair(frame, ranges=ranges, fan=fan).collect(), key=lambda r: (r.conv_id, r.turn, r.piece)):
             got[r.conv_id].append(r)
         assert set(got) == set(convs)
         for c, rows in got.items():
@@ -62,7 +62,7 @@ def test_repair_is_cheapest_and_legal(spark):
             legal(text)
             assert all(f"text {c}.{t}" in text for t in range(len(convs[c])) if t != 2)
         results.append({c: "".join(r.rendered for r in rows) for c, rows in got.items()})
-    assert results[0] == results[1]
+    assert results[0] == results[1] == results[2]
 
 
 def test_one_long_conversation_and_odd_rows(spark):
@@ -72,6 +72,9 @@ def test_one_long_conversation_and_odd_rows(spark):
     roles = [rng.choice(["user", "assistant", "system", None]) for _ in range(500)]
     data = [(7, t, r, "x", 0, 0) for t, r in enumerate(roles)] + [(8, 0, "assistant", "hi", 0, 0)] * 2 + [(None, None, None, None, None, None)]
     got = repair(spark.createDataFrame(data, SCHEMA), ranges=8).collect()
+    folded = repair(spark.createDataFrame(data, SCHEMA), ranges=20, fan=3).collect()
+    again = sorted((r for r in folded if r.conv_id == 7), key=lambda r: (r.turn, r.piece))
+    legal("".join(r.rendered for r in again))
     mine = sorted((r for r in got if r.conv_id == 7), key=lambda r: (r.turn, r.piece))
     legal("".join(r.rendered for r in mine))
     want = trace([canonical(r) for r in roles], START, None)
@@ -80,7 +83,7 @@ def test_one_long_conversation_and_odd_rows(spark):
     cost, state = 0.0, START
     for r, w in zip(roles, want, strict=True):
         cost, state = cost + _BY_ROLE[canonical(r)][state, w], w
-    assert price(mine) == cost + END[state][0]
+    assert price(mine) == price(again) == cost + END[state][0]
     assert sum(r.given is not None or r.action in ("keep", "relabel") for r in got if r.conv_id == 8) == 2
     assert any(r.conv_id is None for r in got)
     assert repair(spark.createDataFrame([], SCHEMA)).count() == 0
