@@ -44,8 +44,10 @@ class CodeBase:
         changed = found if force else monitor.changed_files(found.select("path", "hash", "modified"), state).select("path").join(found, "path")
         changed = changed.cache()
         gone = state.join(found.select("path"), "path", "left_anti").select("path")
-        touched = changed.select("path").unionByName(gone)
-        rows = extract.parsed(changed.where("error is null")).cache()
+        # What can't be read keeps its rows, and is tried again: it has no place in the state.
+        read = changed.where("error is null")
+        touched = read.select("path").unionByName(gone)
+        rows = extract.parsed(read).cache()
         report = Report(changed.count(), gone.count(), rows.where("error is not null").count() + changed.where("error is not null").count())
         if not (report.parsed or report.removed):
             return report
@@ -55,12 +57,12 @@ class CodeBase:
         for kind, table in self.kinds.items():
             field = FILE_FIELD.get(kind, "file")
             table.replace_for(new[kind], [field], touched.withColumnRenamed("path", field))
-        self.files.replace_for(changed.select("path", "language", "content"), ["path"], touched)
-        made = embedded(C.all_chunks(new, changed.select("path", "language", "content")), self.provider)
+        self.files.replace_for(read.select("path", "language", "content"), ["path"], touched)
+        made = embedded(C.all_chunks(new, read.select("path", "language", "content")), self.provider)
         # Same-named functions of a file share an id: the last one stays.
         made = made.groupBy("id").agg(F.max_by(F.struct(*made.columns), "start_line").alias("x")).select("x.*")
         self.chunks.replace_for(made, ["file_path"], touched.withColumnRenamed("path", "file_path"))
-        self.state.write(found.select("path", "hash", "modified"))
+        self.state.write(found.where("error is null").select("path", "hash", "modified"))
         for df in (rows, changed, found):
             df.unpersist()
         return report

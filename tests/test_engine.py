@@ -303,3 +303,44 @@ def test_nested_scopes_and_many_rules_stay_fast():
     began = time.perf_counter()
     rules = parse_style("\n".join(f".a{i} {{ color: red; }}" for i in range(30000)), False)
     assert len(rules) == 30000 and rules[-1]["line"] == 30000 and time.perf_counter() - began < 5
+
+
+def test_rolling_mean_over_ranges(spark):
+    import random
+
+    from skarn.operators.stats import rolling_mean
+
+    rng = random.Random(3)
+    data = [(i * 3, rng.choice(["a", "b", None]), rng.choice([None, rng.randint(-50, 50)])) for i in range(400)]
+    rows = spark.createDataFrame(data, "at bigint, kind string, v bigint")
+    for groups, ranges in ((["kind"], 7), ([], 5), (["kind"], 1)):
+        got = {r["at"]: r["mean"] for r in rolling_mean(rows, "at", "v", 20, groups, ranges).collect()}
+        assert len(got) == 400
+        for i, (at, kind, _) in enumerate(data):
+            last = [v for _, k, v in data[: i + 1] if k == kind or not groups][-20:]
+            known = [v for v in last if v is not None]
+            assert got[at] == (sum(known) // len(known) if known else None)
+    assert rolling_mean(rows.where("false"), "at", "v", 20, ["kind"], 4).count() == 0
+
+
+def test_unreadable_files_are_tried_again(spark, tmp_path, monkeypatch):
+    from skarn.plans import ingest
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.ts").write_text("export function one() { return 1 }")
+    (root / "b.ts").write_text("export function two() { return one() }")
+    code = ingest.CodeBase(spark, str(root), str(tmp_path / "store"))
+    plain = ingest.scan
+    hidden = lambda *a, **k: plain(*a, **k).selectExpr("path", "language", "modified", "if(path = 'b.ts', null, hash) hash", "if(path = 'b.ts', null, content) content", "if(path = 'b.ts', 'denied', error) error")
+    monkeypatch.setattr(ingest, "scan", hidden)
+    names = lambda: sorted(r["name"] for r in code.tables()["functions"].collect())
+    code.ingest()
+    assert names() == ["one"]
+    monkeypatch.setattr(ingest, "scan", plain)
+    code.ingest()
+    assert names() == ["one", "two"]
+    (root / "b.ts").write_text("export function three() { return 3 }")
+    monkeypatch.setattr(ingest, "scan", hidden)
+    code.ingest()
+    assert names() == ["one", "two"]
