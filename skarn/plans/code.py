@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from skarn.operators import chunks as C, extract, stats
 from skarn.operators.graph import CodeGraph
 
-from .base import query
+from .base import parsed_once, query
 from .corpus import FILES
 
 
@@ -17,7 +17,7 @@ def files(t) -> DataFrame:
 
 
 def tables(t) -> dict[str, DataFrame]:
-    return extract.entity_tables(extract.parsed(files(t)))
+    return extract.entity_tables(parsed_once(t, "fixture", files))
 
 
 def graph(t) -> CodeGraph:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import code, graphs, monitoring, texts, vectors  # noqa: F401
+from . import code, generated, graphs, monitoring, texts, vectors  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
