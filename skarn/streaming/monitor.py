@@ -119,6 +119,36 @@ def git_diff(lines: DataFrame, extended: bool = False) -> DataFrame:
     return lines.where(F.size(parts) >= 2).select(F.explode(F.when(parts[0].startswith("R"), renamed).otherwise(plain)).alias("x")).select("x.*")
 
 
+class Pending:
+    """Changed paths of the driver that wait for a flush: the newest change of a path counts.
+
+    A flush is due at ``size`` paths or ``seconds`` after the last one; a failed path comes
+    back unless a newer change waits, and goes at its third failure.
+    """
+
+    def __init__(self, size: int = 1000, seconds: float = 5.0):
+        self.size, self.seconds, self.flushed = size, seconds, float("-inf")
+        self.paths: dict[str, int] = {}
+
+    def add(self, path: str) -> None:
+        self.paths[path] = 0
+
+    def due(self, now: float) -> bool:
+        return len(self.paths) >= self.size or bool(self.paths) and now - self.flushed >= self.seconds
+
+    def take(self, now: float) -> dict[str, int]:
+        taken, self.paths, self.flushed = self.paths, {}, now
+        return taken
+
+    def failed(self, taken: dict[str, int]) -> list[str]:
+        """Puts the paths back; those that are dropped instead."""
+        dropped = [p for p, n in taken.items() if n + 1 >= MOST_RETRIES]
+        for path, n in taken.items():
+            if n + 1 < MOST_RETRIES:
+                self.paths.setdefault(path, n + 1)
+        return dropped
+
+
 class Gate:
     """Pause drops create and modify changes; removals and what is queued go on."""
 

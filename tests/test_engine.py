@@ -344,3 +344,107 @@ def test_unreadable_files_are_tried_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "scan", hidden)
     code.ingest()
     assert names() == ["one", "two"]
+
+
+def test_loop_git_queue_and_server(spark, tmp_path):
+    import json
+    import socket
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from skarn.plans.ingest import CodeBase, Report
+    from skarn.sources.files import GitRange
+    from skarn.streaming.api import Monitor
+    from skarn.streaming.monitor import Pending
+    from skarn.streaming.server import server
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.ts").write_text("export function one() { return 1 }")
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    code = CodeBase(spark, str(root), str(tmp_path / "store"))
+    monitor = Monitor(code, GitRange(str(root)), pending=Pending(seconds=0))
+    names = lambda: sorted(r["name"] for r in code.tables()["functions"].collect())
+    monitor.step(0.0)
+    assert names() == ["one"]
+    (root / "b c.ts").write_text("export function two() { return 2 }")
+    monitor.step(1.0)  # neither is due
+    assert names() == ["one"]
+    monitor.next_poll = 1000.0
+    monitor.step(31.0)  # git names the file
+    assert names() == ["one", "two"]
+    monitor.pause()
+    (root / "c.ts").write_text("export function three() { return 3 }")
+    os.remove(root / "a.ts")
+    assert monitor.poll().removed == 1 and names() == ["two"]
+    monitor.resume()
+
+    asked = []
+    real, code.ingest = code.ingest, lambda force=False, only=None, removals_only=False: asked.append(sorted(r[0] for r in only.collect())) or 1 / 0
+    monitor.pending.add("c.ts")
+    assert [monitor.flush(float(i)) for i in range(4)] == [[], [], ["c.ts"], []] and asked == [["c.ts"]] * 3
+    assert monitor.errors == 3 and "ZeroDivisionError" in monitor.last_error
+    code.ingest = real
+
+    web = server(monitor, port=0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{web.server_port}"
+    get = lambda path, data=None: json.load(urllib.request.urlopen(base + path, data, timeout=60))
+    code.ingest = lambda force=False, only=None, removals_only=False: Report(1, 0, 0)
+    try:
+        assert get("/api/v1/status")["running"] and get("/api/v1/files") == {"total": 1, "files": ["b c.ts"]}
+        assert get("/api/v1/file/b%20c.ts")["monitored"] and get("/api/v1/stats")["batch_metrics"]["errors"] == 3
+        assert get("/api/v1/pause", b"")["status"] == "paused" and get("/api/v1/status")["paused"] and get("/api/v1/resume", b"")["status"] == "resumed"
+        for path, data, wrong in (("/api/v1/pause", None, 405), ("/nothing", None, 404), ("/ws/events", None, 400)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                get(path, data)
+            assert e.value.code == wrong
+        with socket.create_connection(("127.0.0.1", web.server_port), timeout=30) as client:
+            client.sendall(b"GET /ws/events HTTP/1.1\r\nHost: x\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nSec-WebSocket-Version: 13\r\nSec-WebSocket-Key: dGhlIHNhbXBsZSBub25jZQ==\r\n\r\n")
+            data = b""
+            while b"connected" not in data:
+                data += client.recv(4096)
+            assert b"101" in data and b"s3pPLMBiTxaQ9kYGzzhZRbK+xOo=" in data
+            assert get("/api/v1/rescan", b"")["status"] == "rescanned"
+            while b'"batch"' not in data:
+                data += client.recv(4096)
+    finally:
+        web.shutdown()
+        web.server_close()
+
+    stop = threading.Event()
+    loop = threading.Thread(target=monitor.run, args=(stop, 0.01))
+    loop.start()
+    stop.set()
+    loop.join(60)
+    assert not monitor.running
+
+
+def test_buckets_are_replaced_alone(spark, tmp_path):
+    import random
+
+    from skarn.sources.store import VersionedTable
+
+    rng = random.Random(5)
+    schema = "path string, n bigint"
+    table = VersionedTable(spark, str(tmp_path / "t"), schema, ["path"], 8)
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    assert table.read().count() == 0 and table.written() is None
+    want = {f"p{i}": [i, i] for i in range(40)}
+    table.write(frame([(p, n) for p, ns in want.items() for n in ns]))
+    for turn in range(4):
+        gone = [f"p{rng.randrange(50)}" for _ in range(2)]
+        new = {p: [100 + turn] for p in gone[:1]}
+        table.replace_for(frame([(p, n) for p, ns in new.items() for n in ns]), ["path"], frame([(p, 0) for p in gone]).select("path"))
+        want = {p: ns for p, ns in want.items() if p not in gone} | new
+        assert sorted(map(tuple, table.read().collect())) == sorted((p, n) for p, ns in want.items() for n in ns)
+    written = [p for p in os.listdir(tmp_path / "t" / "v-4") if p.startswith("bucket=")]
+    assert len(written) <= 2 and table.versions() == [0, 1, 2, 3, 4]
+    table.vacuum(1)
+    assert table.versions() == [4] and sorted(map(tuple, table.read().collect())) == sorted((p, n) for p, ns in want.items() for n in ns)
+    table.replace_for(frame([]), ["path"], table.read().select("path"))
+    assert table.read().count() == 0 and table.written() > 0
