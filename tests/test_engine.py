@@ -448,3 +448,77 @@ def test_buckets_are_replaced_alone(spark, tmp_path):
     assert table.versions() == [4] and sorted(map(tuple, table.read().collect())) == sorted((p, n) for p, ns in want.items() for n in ns)
     table.replace_for(frame([]), ["path"], table.read().select("path"))
     assert table.read().count() == 0 and table.written() > 0
+
+
+class Recorder:
+    """A runner that appends its statements to a file of its own."""
+
+    def __init__(self, folder):
+        import uuid
+
+        self.path, self.lines = f"{folder}/{uuid.uuid4()}", []
+
+    def run(self, statement, parameters):
+        self.lines.append((statement, parameters))
+
+    def commit(self):
+        import json
+
+        with open(self.path, "a") as f:
+            f.writelines(json.dumps(x) + "\n" for x in self.lines)
+        self.lines = []
+
+    def close(self):
+        assert not self.lines
+
+
+def test_graph_sinks(spark, tmp_path):
+    import json
+    from functools import partial
+
+    import duckdb
+    from pyspark import cloudpickle
+
+    import tests.test_engine as here
+    from skarn.operators import extract
+    from skarn.operators.graph import CodeGraph
+    from skarn.sources.sinks import Cypher, DatabaseSink, InlineCypher, ParquetSink, Sql, literal, write_graph
+
+    cloudpickle.register_pickle_by_value(here)
+    files = spark.createDataFrame([(p, t, p.rsplit(".", 1)[1]) for p, t in FILES.items()], "path string, content string, language string").cache()
+    tables = extract.entity_tables(extract.parsed(files).cache())
+    graph = CodeGraph(tables, files)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        sink = ParquetSink(spark, str(tmp_path / "parquet"))
+        write_graph(graph, sink)
+        read = lambda name: spark.read.parquet(f"{tmp_path}/parquet/{name}/v-0")
+        assert read("Function").count() == graph.vertices["functions"].count() and read("CALLS/Function-Function").count() == graph.calls().count() > 0
+        sink.write_vertices("File", ["path"], graph.files)
+        assert sink.table("File", graph.files, ["path"]).read().count() == len(FILES)
+
+        logs = {}
+        for name, dialect in (("cypher", Cypher()), ("inline", InlineCypher("g")), ("sql", Sql(lambda n: "?", ""))):
+            folder = tmp_path / name
+            folder.mkdir()
+            write_graph(graph, DatabaseSink(dialect, partial(here.Recorder, str(folder)), batch=5))
+            logs[name] = [json.loads(x) for p in sorted(folder.iterdir(), key=os.path.getmtime) for x in p.read_text().splitlines()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    vertex = [x for x in logs["cypher"] if "MERGE (n:Function {file: row.file, name: row.name}) SET n += row" in x[0]]
+    assert sum(len(p["rows"]) for _, p in vertex) == graph.vertices["functions"].count() and max(len(p["rows"]) for _, p in vertex) == 5
+    edge = [x for x in logs["cypher"] if "MERGE (a)-[e:CALLS]->(b) SET e += row.properties" in x[0]]
+    assert "MATCH (a:Function {file: row.ends.caller_file, name: row.ends.caller_func})" in edge[0][0] and set(edge[0][1]["rows"][0]["properties"]) == {"call_location", "call_context"}
+    assert any(x[0].startswith("SELECT * FROM cypher('g', $$ MERGE (n:File {path: 'src/models.ts'}) SET n.language = 'ts' RETURN n $$)") for x in logs["inline"])
+    assert literal("it's\n$$\\") == "'it\\'s\\n\\u0024\\u0024\\\\'" and literal([True, None, 1.5]) == "[true, null, 1.5]"
+
+    db = duckdb.connect()
+    db.execute("create table Function (file text, name text, start_line int, end_line int, signature text, is_async bool, is_export bool, primary key (file, name))")
+    db.execute("create table CALLS_Function_Function (caller_file text, caller_func text, target_file text, resolved_target text, call_location int, call_context text)")
+    for _ in range(2):  # a second run changes nothing
+        for statement, values in logs["sql"]:
+            if statement.startswith(("MERGE INTO Function ", "MERGE INTO CALLS_Function_Function ")):
+                db.execute(statement, values)
+    want = sorted(map(tuple, graph.vertices["functions"].drop("seq").select("file", "name", "start_line", "end_line", "signature", "is_async", "is_export").collect()))
+    assert sorted(db.execute("from Function").fetchall()) == want
+    assert sorted(db.execute("from CALLS_Function_Function").fetchall()) == sorted(map(tuple, graph.calls().collect()))
