@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skarn.operators.chunks import embedding_text
 
@@ -73,8 +73,8 @@ class HttpProvider:
         return [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]
 
 
-def embedded(chunks: DataFrame, provider: Provider, batch: int = BATCH) -> DataFrame:
-    """``chunks`` with an embedding column: ``batch`` texts go to the provider at once, within an Arrow batch."""
+def embedded(chunks: DataFrame, provider: Provider, batch: int = BATCH, text: Column | None = None) -> DataFrame:
+    """``chunks`` with an embedding of ``text`` (the chunk's embedding text): ``batch`` texts go to the provider at once, within an Arrow batch."""
 
     def run(column: pa.Array) -> pa.Array:
         texts = column.to_pylist()
@@ -86,4 +86,4 @@ def embedded(chunks: DataFrame, provider: Provider, batch: int = BATCH) -> DataF
             out += vectors
         return pa.array(out, pa.list_(pa.float32()))
 
-    return chunks.withColumn("embedding", F.arrow_udf(run, "array<float>")(embedding_text()))
+    return chunks.withColumn("embedding", F.arrow_udf(run, "array<float>")(embedding_text() if text is None else text))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skarn.functions.exprs import chunk_id, line_slice, non_empty
 
+from .merge import latest, merge
+
 COLUMNS = ("id", "chunk_type", "name", "file_path", "content", "start_line", "end_line", "language", "metadata")
 
 
@@ -78,6 +80,16 @@ def all_chunks(tables: dict[str, DataFrame], files: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
+def newest(chunks: DataFrame) -> DataFrame:
+    """One chunk for each id: same-named functions of a file share one, the last in the file stays."""
+    return latest(chunks, ["id"], ["start_line", "end_line", "content"])
+
+
+def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
+    """``store`` with the new chunks in the place of those with their ids."""
+    return merge(store, newest(new), ["id"]).drop("change")
+
+
 def embedding_text() -> Column:
     """The text of a chunk row: header lines, those with a value only, a separator line and the content."""
     line = lambda label, value: F.when(non_empty(value), F.concat(F.lit(f"{label}: "), value))

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skarn.functions.exprs import is_custom_component
 
 TAG = r"<([A-Za-z][A-Za-z0-9.]*)([^<>]*)>"
-NAME_IN_TAG = r"\s([A-Za-z_][A-Za-z0-9_-]*)(?:=|\s|$)"
 
 
 def elements(pages: DataFrame, key: str, markup: str) -> DataFrame:

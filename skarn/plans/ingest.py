@@ -85,9 +85,7 @@ class CodeBase:
             field = FILE_FIELD.get(kind, "file")
             table.replace_for(new[kind], [field], touched.withColumnRenamed("path", field))
         self.files.replace_for(read.select("path", "language", "content"), ["path"], touched)
-        made = embedded(C.all_chunks(new, read.select("path", "language", "content")), self.provider)
-        # Same-named functions of a file share an id: the last one stays.
-        made = made.groupBy("id").agg(F.max_by(F.struct(*made.columns), "start_line").alias("x")).select("x.*")
+        made = embedded(C.newest(C.all_chunks(new, read.select("path", "language", "content"))), self.provider)
         self.chunks.replace_for(made, ["file_path"], touched.withColumnRenamed("path", "file_path"))
         rest = state.join(gone.unionByName(found.select("path")), "path", "left_anti")
         self.state.write(rest.unionByName(found.where("error is null").select("path", "hash", "modified")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from skarn.functions.embed import embedded
 from skarn.functions.exprs import chunk_id, cosine_distance, parse_vector, vector_text
 from skarn.operators import chunks as C, merge, search, stats
 
@@ -97,6 +98,32 @@ def ann_index_search(t):
     return total.select("queries", "found", (F.col("right") >= 0.9 * 10 * F.col("queries")).alias("recall_reached"))
 
 
+class Vowels:
+    """A provider that SQL can repeat: how often a text has each vowel."""
+
+    dimension = 5
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float((text or "").count(c)) for c in "aeiou"] for text in texts]
+
+
+@query("""WITH v AS (SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE) AS e FROM documents WHERE text IS NOT NULL),
+d AS (SELECT q.doc_id AS query_id, v.doc_id AS id, round(1 - list_cosine_similarity(v.e, q.e), 12) AS d FROM v q, v WHERE q.doc_id % 20 = 0 AND list_sum(q.e) > 0 AND list_sum(v.e) > 0)
+SELECT query_id, id, round(d, 6) + 0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d) WHERE n <= 10""")
+def text_search(t):
+    chunks = embedded(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), Vowels(), text=F.coalesce("content", F.lit("")))
+    asked = t.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.search_texts(chunks, Vowels(), asked, 10).select("query_id", "id", (F.round("distance", 6) + 0).alias("distance"))
+
+
+@query("""SELECT 'c' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS name, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS start_line, length(text) AS n FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+def chunk_upsert(t):
+    rows = lambda name, line: t.documents.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), name.alias("name"), F.col("text").alias("content"), F.lit(line).alias("start_line"), F.lit(line).alias("end_line"), "doc_id")
+    new = rows(F.lit("old"), 1).unionByName(rows(F.lit("new"), 2)).where("doc_id % 3 = 0")
+    stored = C.upsert(rows(F.col("lang"), 0).where("doc_id % 2 = 0").drop("doc_id"), new.drop("doc_id"))
+    return stored.select("id", "name", "start_line", F.length("content").cast("bigint").alias("n"))
+
+
 @query("SELECT doc_id, lang, source, length(text) AS n FROM documents WHERE doc_id = 7")
 def chunk_lookup(t):
     return t.documents.where("doc_id = 7").limit(1).select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("n"))

@@ -52,14 +52,22 @@ def coalesce_changes(changes: DataFrame, order: list[str]) -> DataFrame:
     return latest(changes, ["path"], order)
 
 
-def flush_assignment(changes: DataFrame, size: int, seconds: int, order: list[str]) -> DataFrame:
+def flush_assignment(changes: DataFrame, size: int, seconds: int, order: list[str], slices: int = 64) -> DataFrame:
     """``tick`` and ``flush`` of each change: a flush for every ``size`` pending paths of a tick, and one at its end.
 
-    Changes of a path within a tick coalesce to the last; a tick is ``seconds`` of the ``ts`` column.
+    Changes of a path within a tick coalesce to the last; a tick is ``seconds`` of the ``ts``
+    column, by which ``order`` begins.  A tick is numbered in ``slices`` of its time, whose
+    counts add up before, so no task orders a whole tick.
     """
-    rows = changes.withColumn("tick", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = changes.withColumn("tick", F.floor(micros / (seconds * 1_000_000)))
     rows = latest(rows, ["tick", "path"], order)
-    return rows.withColumn("flush", F.floor((F.row_number().over(Window.partitionBy("tick").orderBy(*order)) - 1) / size))
+    rows = rows.withColumn("_slice", F.floor(F.pmod(micros, F.lit(seconds * 1_000_000)) * slices / (seconds * 1_000_000)))
+    before = Window.partitionBy("tick").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most ``slices`` rows
+    counts = rows.groupBy("tick", "_slice").agg(F.count("*").alias("_n")).select(F.col("tick").alias("_t"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("tick", "_slice").orderBy(*order)))
+    rows = rows.join(counts, F.col("tick").eqNullSafe(F.col("_t")) & F.col("_slice").eqNullSafe(F.col("_s")))
+    return rows.withColumn("flush", F.floor((F.col("_place") + F.col("_before") - 1) / size)).drop("_slice", "_place", "_t", "_s", "_before")
 
 
 def retry_or_drop(failed: DataFrame, pending: DataFrame) -> DataFrame:
