@@ -22,9 +22,16 @@ FILES_PER_TASK = 200
 
 
 def list_files(root: str, skip: tuple[str, ...] = X.BATCH_SKIP, extensions: tuple[str, ...] = X.EXTENSIONS) -> list[tuple[str, int, int]]:
-    """(relative path, modified seconds, size) in lexical order, without entering skipped directories."""
+    """(relative path, modified seconds, size) in lexical order, without entering skipped directories.
+
+    A folder that can't be listed is an error: its files must not pass for removed ones.
+    """
+
+    def fail(error: OSError):
+        raise error
+
     found = []
-    for folder, names, files in os.walk(root):
+    for folder, names, files in os.walk(root, onerror=fail):
         names[:] = sorted(n for n in names if n not in skip)
         for name in sorted(files):
             if os.path.splitext(name)[1] in extensions:

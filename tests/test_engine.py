@@ -31,6 +31,14 @@ def test_scan_prunes_and_keeps_hidden_names(spark, tmp_path):
     assert {r.path for r in binary_files(spark, str(tmp_path)).select("path").collect()} == set(FILES) - {"src/empty.ts"}
 
 
+def test_a_folder_that_cannot_be_listed_is_an_error(tmp_path):
+    from skarn.sources.files import list_files
+
+    assert list_files(str(tmp_path)) == []
+    with pytest.raises(FileNotFoundError):
+        list_files(str(tmp_path / "gone"))
+
+
 def test_ingest_is_incremental(spark, tmp_path):
     from skarn.plans.ingest import CodeBase
 
