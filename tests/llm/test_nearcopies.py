@@ -61,3 +61,28 @@ def test_stage_drops_copies_beyond_four_bits(spark):
     data = edited()
     frame = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], docs(spark, []).schema)
     assert {r.doc_id for r in near_dedup(spark, frame, "").collect()} == brute(data)
+
+
+def test_fingerprints_link_what_the_bands_miss(spark, monkeypatch):
+    """The stage's links come from the pigeonhole blocks of fingerprints too: pairs within their bits are found without any band."""
+    import numpy as np
+    import pyarrow as pa
+
+    from skarn.llm import nearcopies as n
+    from skarn.llm.textops import text_buffers
+
+    data = [(i, t) for i, t in edited(6) if i < 1000]
+    data += [(5000 + i, f"{t} and one more") for i, t in data]
+    values, at, _ = n.shingles(*text_buffers(pa.array([t for _, t in data])))
+    fps = n.fingerprints(values, at)
+    for i in range(0, len(data), 7):
+        part = values[at[i] : at[i + 1]]
+        assert int(fps[i]) == sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in part) > len(part))
+    near = np.bitwise_count(fps[:40] ^ fps[40:]) <= n.MAX_BITS
+    assert near.any()
+    monkeypatch.setattr(n, "bands", lambda values, at: np.zeros((len(at) - 1, n.BANDS), np.uint64) + mixed(values, at)[:, None])
+    mixed = lambda values, at: np.bitwise_xor.reduceat(n.mix(values), at[:-1])  # noqa: E731  # a key of its own for every text
+    frame = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], docs(spark, []).schema)
+    found = {r.doc_id: r.component_id for r in n.classes(frame).collect()}
+    for i in range(40):
+        assert not near[i] or found[5000 + i] == i
