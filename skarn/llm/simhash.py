@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import HOT_KEYS, columns_of, free_names, join_hot, written
+from .common import HOT_KEYS, columns_of, discard, free_names, join_hot, written
 from .textops import text_blocks
 
 SHINGLE_WORDS = 4
@@ -154,7 +154,7 @@ def _sized(rows: DataFrame, tile: int) -> DataFrame:
     that crowded), so that no task gathers them before they are cut into tiles.
     """
     keys = ["choice", "bits"]
-    sizes = written(rows.groupBy(*keys).count().where("count > 1"), "simhash-keys")
+    sizes = written(rows.groupBy(*keys).count().where("count > 1"), "simhash-keys", drop_shuffles=True)
     least = max(tile, (sizes.agg(F.sum("count")).first()[0] or 0) // HOT_KEYS)
     crowded = F.broadcast(sizes.where(F.col("count") > least))
     return rows.join(crowded, keys).unionByName(rows.join(crowded, keys, "left_anti").join(sizes.where(F.col("count") <= least), keys))
@@ -207,9 +207,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs all neighbours of a node, and the node, on the least of them
     (large-star and small-star in turn), with aggregates and joins only, and stops when
-    the edges no longer change.
+    the edges no longer change.  A table of edges goes, and the shuffles of its write, as
+    soon as the next one stands.
     """
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc", drop_shuffles=True)
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -219,10 +220,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "cc")
+        large = written(large.where("u <> v").distinct(), "cc", drop_shuffles=True)
+        discard(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "cc")
+        now = written(small.where("u <> v").distinct(), "cc", drop_shuffles=True)
+        discard(large)
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots
 
@@ -248,7 +251,7 @@ def kept_rows(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataF
 
     Rows that repeat such an id are one document: the least of them by content stays.
     """
-    keep = written(keep, "simhash-kept")
+    keep = written(keep, "simhash-kept", drop_shuffles=True)
     names = docs.columns
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     (place,) = free_names(docs, "place")

@@ -86,3 +86,23 @@ def test_fingerprints_link_what_the_bands_miss(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in n.classes(frame).collect()}
     for i in range(40):
         assert not near[i] or found[5000 + i] == i
+
+
+def test_rounds_and_stage_clear_up(spark):
+    """Tables that nothing reads any more go at once, not when the driver ends."""
+    from pathlib import Path
+
+    from skarn.llm.nearcopies import classes
+    from skarn.llm.simhash import components
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "skarn"
+    tables = lambda: {p.name for p in shared.glob("*")}
+    seen = tables()
+    edges = spark.createDataFrame([(i * 7 % 300, (i + 1) * 7 % 300) for i in range(299)], "u bigint, v bigint")
+    assert {r.root for r in components(edges).collect()} == {0}
+    assert len(tables() - seen) == 1
+    seen = tables()
+    data = edited()
+    frame = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], docs(spark, []).schema)
+    assert {r.component_id for r in classes(frame).collect()} == brute(data)
+    assert sorted(n.rsplit("-", 1)[0] for n in tables() - seen) == ["cc", "cc", "copies-classes", "hot-keys", "simhash-keys"]
